@@ -1,13 +1,14 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, tokens.
 
-Every stage takes (spark, docs, sf_dir) and returns the rows for the next one.
+Every stage takes (spark, docs, sf_dir) and returns the rows for the next one; ``docs`` are what
+the stage before has kept, read from Parquet.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmura.llm import quality
+from murmura.llm import decontaminate, near_dedup, passages, pieces, quality
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +16,33 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", good_quality)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs, near_dedup.Near(words=5, percent=80))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts byte strings of 400 or more that stand in more than one place; documents left empty go."""
+    return passages.drop_repeats(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item or a near copy of one."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts and decodes them again: doc_id, n_tokens, ids, round_trip."""
+    return pieces.tokenize(docs, pieces.MODEL)
+
+
+STAGES = [
+    ("quality rules", good_quality),
+    ("near-duplicates", one_of_each_group),
+    ("repeated passages", without_repeats),
+    ("benchmark leaks", without_leaks),
+    ("tokens", tokens),
+]
 
 #: SQL can't express the stages; tests hold each against a brute-force version.
 ORACLE_SQL = None

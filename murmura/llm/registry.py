@@ -5,6 +5,7 @@ from murmura.llm.decontaminate import op9_decontamination
 from murmura.llm.html_text import op4_html_text
 from murmura.llm.licenses import op5_license_scan
 from murmura.llm.near_dedup import OP1_SQL, op1_near_dedup
+from murmura.llm.passages import op8_suffix_dedup
 from murmura.llm.pieces import op2_sentencepiece
 from murmura.llm.quality import op6_quality_rules
 from murmura.llm.shards import op10_sharding
@@ -20,6 +21,7 @@ QUERIES = {
         op5_license_scan,
         op6_quality_rules,
         op7_url_filter,
+        op8_suffix_dedup,
         op9_decontamination,
         op10_sharding,
     )
