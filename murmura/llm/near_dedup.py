@@ -123,16 +123,17 @@ def merged_lists(classes: DataFrame, near: Near) -> DataFrame:
     ``classes`` has rep, n_shingles and sketch.
     """
     c = near.least_shared()
-    values = classes.select("rep", "n_shingles", F.explode("sketch").alias("value"))
+    values = classes.select("rep", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = values.join(often, "value").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"))
+    shared = values.join(often, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"))
+    shared = shared.join(classes.select("rep", "n_shingles"), "rep")
     size = F.least(F.lit(near.k), F.col("n_shingles"))
     # What a partner must share at least, and so how many of the rarest values suffice.
     need = F.least(F.lit(c), F.ceil(F.col("n_shingles") * near.percent / 100))
     enter = F.greatest(F.lit(0), F.size("shared") - need + 1).cast("int")
-    lists = shared.filter(size >= need).select("rep", "n_shingles", F.explode(F.slice("shared", F.lit(1), enter)).alias("s")).select("rep", "n_shingles", F.col("s.value").alias("value"))
+    lists = cut(shared.filter(size >= need).select("rep", "n_shingles", F.explode(F.slice("shared", F.lit(1), enter)).alias("s")).select("rep", "n_shingles", F.col("s.value").alias("value")))
     hubs = lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("value", "hub")
-    return lists.join(hubs, "value").select("hub", "rep", "n_shingles").distinct()
+    return cut(lists.join(hubs, "value").select("hub", "rep", "n_shingles").distinct())
 
 
 def blocked(lists: DataFrame) -> DataFrame:
@@ -268,11 +269,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
     rows = cut(sketches(docs, near))
-    classes = rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    members = rows.select("doc_id", "n_shingles", "d1", "d2")
     # A class's representative brings its sketch; repeated rows of it are alike.
-    chosen = rows.select(F.col("doc_id").alias("rep"), "d1", "d2", "sketch").join(classes, ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
-    places = blocked(merged_lists(chosen.select("rep", "n_shingles", "sketch"), near))
+    first = F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("first")
+    classes = cut(rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), first))
+    chosen = classes.filter("rep IS NOT NULL").select("rep", "first.n_shingles", "first.sketch")
+    members = rows.select("doc_id", "n_shingles", "d1", "d2")
+    places = blocked(merged_lists(chosen, near))
     found = components(links(docs, places, near))
     named = classes.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = members.join(named, ["d1", "d2"], "left")
