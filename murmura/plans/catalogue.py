@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from murmura.plans import guards, transcripts
+from murmura.plans import guards, intervals, services, transcripts, vectors
 
-MODULES = (transcripts, guards)
+MODULES = (transcripts, guards, intervals, vectors, services)
 
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
