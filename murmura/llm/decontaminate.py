@@ -1,6 +1,6 @@
 """Benchmark decontamination: near copies of benchmark items inside documents.
 
-Items and documents are read as words (letters and digits, A-Z in lower case), so case,
+Items and documents are read as words (letters and digits in lower case), so case,
 punctuation and layout don't count.  The CGK random walk embeds a word sequence: at each step it
 writes the word under its pointer, and a random bit of that word says whether the pointer moves
 on.  Two sequences a small edit distance apart soon walk in step again, so their embeddings are a small
@@ -54,9 +54,13 @@ class Lsh:
 
 
 def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word."""
+    """Hash and row of each word, in lower case (A-Z and the accented letters of Latin-1)."""
     begin, end, row = word_bounds(data, starts, ends, NOT_WORD)
-    return word_hashes(LOWER[data], begin, end), row
+    low = LOWER[data]
+    if len(data) > 1:
+        accented = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        low[1:][accented] += 32
+    return word_hashes(low, begin, end), row
 
 
 def walk(hashes: np.ndarray, at: np.ndarray, number: int, lsh: Lsh) -> tuple[np.ndarray, np.ndarray]:

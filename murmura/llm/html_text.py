@@ -135,7 +135,7 @@ def main_text(html: str | None) -> str:
     kept = {id(best)}
     if best.parent is not None and best.tag not in BONUS:
         for sibling in best.parent.children:
-            if not sibling.skip and sibling.score >= max(10.0, 0.2 * most):
+            if not sibling.skip and sibling.score >= max(3.0, 0.2 * most):
                 kept.add(id(sibling))
     inside: dict[int, bool] = {}
 
