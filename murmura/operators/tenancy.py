@@ -57,7 +57,7 @@ def admissions(requests: DataFrame, organizations: DataFrame, platform_max: int)
 def monthly_minutes(sessions: DataFrame) -> DataFrame:
     """Completed minutes by organisation and month, with totals of both (rollup)."""
     done = sessions.filter("status = 'completed'").withColumn("month", F.date_format("started_at", "yyyy-MM"))
-    return done.rollup("organization_id", "month").agg(F.bround(F.sum("minutes"), 4).alias("minutes"), F.count("*").alias("n_sessions"), F.grouping_id().cast("long").alias("level"))
+    return done.rollup("organization_id", "month").agg(F.bround(F.sum("minutes"), 6).alias("minutes"), F.count("*").alias("n_sessions"), F.grouping_id().cast("long").alias("level"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFrame:

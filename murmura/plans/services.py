@@ -190,7 +190,7 @@ SELECT session_id, t AS anchor_speakers, (t <> h)::BIGINT AS n_disagree, t = h A
 ), d AS (SELECT session_id, CASE WHEN pl >= 150 THEN 'platform_full' WHEN status IS NULL THEN 'unknown_organization' WHEN status NOT IN ('active', 'trial') THEN 'organization_inactive' WHEN live >= max_sessions THEN 'quota_exceeded' ELSE 'accept' END AS decision
   FROM r LEFT JOIN lim USING (organization_id))
 SELECT session_id, decision, CASE decision WHEN 'platform_full' THEN 15 WHEN 'quota_exceeded' THEN 30 END::INT AS retry_after FROM d"""),
-    "monthly_minutes": src.with_sql("sessions", """SELECT organization_id, strftime(started_at, '%Y-%m') AS month, round_even(sum(minutes), 4) AS minutes, count(*) AS n_sessions, grouping_id(organization_id, strftime(started_at, '%Y-%m')) AS level
+    "monthly_minutes": src.with_sql("sessions", """SELECT organization_id, strftime(started_at, '%Y-%m') AS month, round_even(sum(minutes), 6) AS minutes, count(*) AS n_sessions, grouping_id(organization_id, strftime(started_at, '%Y-%m')) AS level
 FROM sessions WHERE status = 'completed' GROUP BY ROLLUP (organization_id, strftime(started_at, '%Y-%m'))"""),
     "upsert_users": f"WITH {_USERS} SELECT user_id, organization_id, CASE WHEN user_id % 2 = 0 THEN 'new' || user_id || '@example.org' ELSE email END AS email, CASE WHEN user_id % 3 <> 0 THEN c_acctbal ELSE 0e0 END AS c_acctbal FROM u WHERE user_id % 3 <> 0 OR user_id % 2 = 0",
     "rejected_writes": f"""WITH {_USERS}, n AS (SELECT user_id, organization_id + CASE WHEN user_id % 14 = 0 THEN 20 ELSE 0 END AS organization_id, lower(trim(email)) AS email FROM u WHERE user_id % 7 = 0)
