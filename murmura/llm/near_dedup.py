@@ -124,7 +124,8 @@ def merged_lists(classes: DataFrame, near: Near) -> DataFrame:
     """
     c = near.least_shared()
     values = classes.select("rep", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
+    # Written, so that the join below stands on two plain exchanges and a value with very many rows can be split.
+    often = cut(values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1"))
     shared = values.join(often, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"))
     shared = shared.join(classes.select("rep", "n_shingles"), "rep")
     size = F.least(F.lit(near.k), F.col("n_shingles"))
@@ -132,13 +133,13 @@ def merged_lists(classes: DataFrame, near: Near) -> DataFrame:
     need = F.least(F.lit(c), F.ceil(F.col("n_shingles") * near.percent / 100))
     enter = F.greatest(F.lit(0), F.size("shared") - need + 1).cast("int")
     lists = cut(shared.filter(size >= need).select("rep", "n_shingles", F.explode(F.slice("shared", F.lit(1), enter)).alias("s")).select("rep", "n_shingles", F.col("s.value").alias("value")))
-    hubs = lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("value", "hub")
+    hubs = cut(lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("value", "hub"))
     return cut(lists.join(hubs, "value").select("hub", "rep", "n_shingles").distinct())
 
 
 def blocked(lists: DataFrame) -> DataFrame:
     """rep and its places: an array of (hub, blocks of that hub)."""
-    sizes = lists.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = cut(lists.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     return lists.join(sizes, "hub").groupBy("rep").agg(F.collect_list(F.struct("hub", "blocks")).alias("places"))
 
 
