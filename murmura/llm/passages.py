@@ -246,13 +246,14 @@ def _counted(contexts: DataFrame, rule: Repeat) -> DataFrame:
 
 def spans(docs: DataFrame, texts: DataFrame, rule: Repeat) -> DataFrame:
     """(k1, k2, spans): what is to go from each text that loses something, as unsorted spans."""
-    often = _anchor_rows(docs, rule, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Aggregates are written before they are joined: a join of two plain exchanges can split a bucket with very many rows.
+    often = cut(_anchor_rows(docs, rule, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     found = cut(_anchor_rows(docs, rule, True).join(often, "gram"))
     context = ["gram", "before", "wide", "c1", "c2"]
     found = found.withColumns({"before": F.col("pos") - F.col("lo"), "wide": F.col("hi") - F.col("lo")})
-    classes = found.groupBy(*context).agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
+    classes = cut(found.groupBy(*context).agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")))
     whole = found.join(classes.filter("copies > 1").select(*context), context).select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + rule.length).alias("end"))
-    mixed = classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = cut(classes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     wanted = classes.join(mixed, "gram").select("gram", "kinds", "copies", "one.*")
     refined = _refined(_contexts(texts, wanted.filter(F.col("kinds") <= MOST), rule), rule)
     counted = _counted(_contexts(texts, wanted.filter(F.col("kinds") > MOST), rule), rule)
