@@ -39,7 +39,7 @@ SPACE = "▁"
 #: Segments of more characters than this don't go in a matrix.
 LONG = 64
 #: Distinct segments that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _ONLY_SPACE = np.zeros(256, bool)
