@@ -45,10 +45,7 @@ def token_run_longest(spark, sf_dir):
 
 
 def repetition_guard(spark, sf_dir):
-    toks = F.transform(T.tokens(F.col("text")), T.fold_case)
-    return documents(spark, sf_dir).select(
-        "doc_id", F.bround(T.unique_ratio(toks), 6).alias("unique_ratio"), T.most_frequent(T.ngrams(toks)).alias("top_trigram"), T.looks_degenerate(F.col("text")).alias("degenerate")
-    )
+    return T.with_repetition(documents(spark, sf_dir), "text").select("doc_id", F.bround("unique_ratio", 6).alias("unique_ratio"), "top_trigram", "degenerate")
 
 
 def with_context(df):
@@ -66,11 +63,12 @@ def clean_transcript_reasons(spark, sf_dir):
     text, allowed = F.col("text"), "[A-Ta-t]"
     df = documents(spark, sf_dir).withColumn("kept", T.strip_foreign(text, allowed)).withColumn("share", T.foreign_share(text, allowed))
     kept = F.col("kept")
+    df = T.with_repetition(df, "kept")
     reason = (
         F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "blank")
         .when(kept == "", "foreign script")
         .when((F.col("share") >= 0.3) & (T.word_count(kept) < 3), "remnant too short")
-        .when(T.looks_degenerate(kept), "repetition loop")
+        .when(F.col("degenerate"), "repetition loop")
     )
     return df.select("doc_id", reason.alias("reason"), F.when(reason.isNull(), F.char_length(kept)).otherwise(0).cast("long").alias("kept_chars"))
 
