@@ -55,8 +55,7 @@ def strip_foreign(text: Column, allowed: str = BASE, share: float = 0.5) -> Colu
     """The tokens without letters, or with a foreign share of at most ``share``, with one space between them."""
 
     def keep(t: Column) -> Column:
-        inside, outside = script_profile(t, allowed)
-        return (inside + outside == 0) | (outside <= share * (inside + outside))
+        return letters(t, allowed) >= (1 - share) * letters(t, r"\p{L}")
 
     # Most texts have no foreign letter at all, and nothing to look at token by token.
     return F.when(script_profile(text, allowed)[1] == 0, F.array_join(tokens(text), " ")).otherwise(F.array_join(F.filter(tokens(text), keep), " "))

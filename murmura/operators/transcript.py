@@ -68,8 +68,9 @@ def token_languages(df: DataFrame, language: Column, keys: list[str]) -> DataFra
     tokens = tokens.withColumn("start", F.col("end") - F.char_length("token"))
     tokens = tokens.withColumn("own", language)
     before = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("own", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return tokens.withColumn("language", F.coalesce(before, after))
+    # Where nothing stands before, the first of all is the first after; a frame to the end would be read anew for every row.
+    first = F.first("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return tokens.withColumn("language", F.coalesce(before, first))
 
 
 def language_spans(df: DataFrame, language: Column, keys: list[str], fallback: str) -> DataFrame:
