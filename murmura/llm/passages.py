@@ -26,7 +26,6 @@ columns are ignored by ``repeats`` and kept by ``drop_repeats``; an empty table
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -291,23 +290,31 @@ def _with_spans(docs: DataFrame, columns: list[str], rule: Repeat) -> DataFrame:
 
 
 def repeats(docs: DataFrame, rule: Repeat = Repeat()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs``."""
+    """doc_id, n_bytes, spans (start and end of each maximal run of bytes that goes, in order) and kept (the remaining bytes) of each row of ``docs``."""
     joined = _with_spans(docs, ["doc_id", "text"], rule).select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw, gone in _cuts(batch):
-                digest, at = hashlib.sha256(), 0
-                for b, e in gone:
-                    digest.update(raw[at:b])
-                    at = e
-                digest.update(raw[at:])
-                out.append((len(raw), sum(e - b for b, e in gone), len(gone), digest.hexdigest()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            sizes, gone, kept = [], [], []
+            for raw, cuts in _cuts(batch):
+                sizes.append(len(raw))
+                gone.append([{"start": b, "end": e} for b, e in cuts])
+                kept.append(b"".join(raw[b:e] for b, e in zip([0, *(e for _, e in cuts)], [*(b for b, _ in cuts), len(raw)], strict=True)))
+            spans = pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+
+    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+
 
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def digests(found: DataFrame) -> DataFrame:
+    """The figures of what ``repeats`` has found: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
 
 
 def drop_repeats(docs: DataFrame, rule: Repeat = Repeat()) -> DataFrame:
@@ -341,4 +348,4 @@ def drop_repeats(docs: DataFrame, rule: Repeat = Repeat()) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return digests(repeats(table(spark, sf_dir, "documents")))

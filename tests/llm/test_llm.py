@@ -54,11 +54,10 @@ def shingles(text, n):
 def components(texts, n, percent):
     sets = {i: shingles(t, n) for i, t in enumerate(texts)}
     comp = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+        for a, b in linked:
+            comp[a] = comp[b] = min(comp[a], comp[b])
     return sets, comp
 
 
@@ -124,7 +123,7 @@ def brute_repeats(texts, length):
 
 
 def test_repeats(docs, texts):
-    got = {r[0]: tuple(r)[1:] for r in passages.repeats(docs).collect()}
+    got = {r[0]: tuple(r)[1:] for r in passages.digests(passages.repeats(docs)).collect()}
     assert got == dict(enumerate(brute_repeats(texts, 400)))
 
 
@@ -135,10 +134,10 @@ def test_repeats_counted_and_small(spark, none, monkeypatch):
     df = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
     rule = passages.Repeat(length=32, gram=8)
     want = dict(enumerate(brute_repeats(many, 32)))
-    assert {r[0]: tuple(r)[1:] for r in passages.repeats(df, rule).collect()} == want
+    assert {r[0]: tuple(r)[1:] for r in passages.digests(passages.repeats(df, rule)).collect()} == want
     monkeypatch.setattr(passages, "MOST", 2)
     monkeypatch.setattr(passages, "AT_ONCE", 64)
-    assert {r[0]: tuple(r)[1:] for r in passages.repeats(df, rule).collect()} == want
+    assert {r[0]: tuple(r)[1:] for r in passages.digests(passages.repeats(df, rule)).collect()} == want
     assert passages.repeats(none).count() == 0
 
 
