@@ -85,12 +85,16 @@ def segments(flags: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return flags.select("session_id", "frame", "is_speech").repartition("session_id").sortWithinPartitions("session_id", "frame").mapInPandas(run, SCHEMA)
 
 
-def stream_segments(flags: DataFrame, rule: Rule = Rule(), idle: str = "10 seconds") -> DataFrame:
-    """The same over a stream, whose frames arrive in order; ``idle`` processing time ends a session."""
+def stream_segments(flags: DataFrame, rule: Rule = Rule(), idle_seconds: float | None = 10.0) -> DataFrame:
+    """The same over a stream, whose frames arrive in order; so much idle processing time ends a session.
+
+    A query with such a timeout runs until it is stopped, for it waits for sessions to end. For a replay that is to stop by
+    itself (``availableNow``) give None: no session times out, and what is open at the end stays in the state.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     ship(flags.sparkSession)
-    wait = int(float(idle.split()[0]) * 1000)
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, found = (tuple(state.get) if state.exists else EMPTY), []
@@ -105,7 +109,8 @@ def stream_segments(flags: DataFrame, rule: Rule = Rule(), idle: str = "10 secon
             if done:
                 found.append(done)
         state.update(now)
-        state.setTimeoutDuration(wait)
+        if idle_seconds is not None:
+            state.setTimeoutDuration(int(idle_seconds * 1000))
         yield _rows(key[0], found, rule)
 
-    return flags.groupBy("session_id").applyInPandasWithState(step, SCHEMA, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return flags.groupBy("session_id").applyInPandasWithState(step, SCHEMA, STATE, "append", timeout)

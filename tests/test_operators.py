@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import time
 import wave
 from collections import Counter
 from itertools import permutations
@@ -276,11 +277,26 @@ def test_segments_stream_as_batch(spark, tmp_path):
 
         os.utime(tmp_path / "in" / f"{part}.json", (1e9 + part, 1e9 + part))
     stream = spark.readStream.schema("session_id long, frame long, is_speech boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    query = segmenter.stream_segments(stream, RULE).writeStream.format("memory").queryName("segments_seen").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = segmenter.stream_segments(stream, RULE, None).writeStream.format("memory").queryName("segments_seen").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     got = {(r.session_id, round(r.start / 0.03), round(r.end / 0.03), r.reason) for r in spark.table("segments_seen").collect()}
     want = {(s, *x) for s in range(5) for x in plain_segments(rows[rows.session_id == s].is_speech.tolist(), RULE) if x[2] != "flush"}
-    assert want <= got and {x[3] for x in got - want} <= {"flush"}
+    assert got == want
+
+
+def test_idle_sessions_end(spark, tmp_path):
+    rows = pd.DataFrame([(7, k, True) for k in range(RULE.least + 5)], columns=["session_id", "frame", "is_speech"])
+    (tmp_path / "in").mkdir()
+    rows.to_json(tmp_path / "in" / "0.json", orient="records", lines=True)
+    stream = spark.readStream.schema("session_id long, frame long, is_speech boolean").json(str(tmp_path / "in"))
+    query = segmenter.stream_segments(stream, RULE, 1.0).writeStream.format("memory").queryName("idle_seen").outputMode("append").start()
+    try:
+        until = time.monotonic() + 60
+        while not spark.table("idle_seen").count() and time.monotonic() < until:
+            time.sleep(0.5)
+        assert "flush" in {r.reason for r in spark.table("idle_seen").collect()}
+    finally:
+        query.stop()
 
 
 def test_stitching(spark):
