@@ -68,6 +68,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFra
     return joined.select(key, *(pick(c).alias(c) for c in fields))
 
 
+def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` with those rows of ``new`` whose key it lacks."""
+    return old.unionByName(new.join(old.select(key), key, "left_anti"))
+
+
 def rejected_writes(new: DataFrame, users: DataFrame, organizations: DataFrame) -> DataFrame:
     """New users that break a constraint, with its name."""
     taken = users.select("organization_id", normal_email(F.col("email")).alias("email")).distinct().withColumn("taken", F.lit(True))
