@@ -108,15 +108,21 @@ def separation(cents: DataFrame, cluster: str) -> DataFrame:
 def silhouette(windows: DataFrame, cluster: str) -> DataFrame:
     """The duration-weighted silhouette of each session's clusters.
 
-    Means to the other clusters and to the own one (without the window itself) are weighted by duration.
+    Means to the other clusters and to the own one (without the window itself) are weighted by
+    duration.  A weighted mean of cosine distances to a cluster follows from the sum of its vectors,
+    so windows meet clusters, not one another.
     """
-    facts = windows.select("session_id", "window_id", F.col(cluster).alias("c"), (F.col("end") - F.col("start")).alias("w"))
-    d = pair_distances(windows).join(facts.select("session_id", F.col("window_id").alias("b"), "c", "w"), ["session_id", "b"])
-    means = d.groupBy("session_id", "a", "c").agg((F.sum(F.col("distance") * F.col("w")) / F.sum("w")).alias("mean"))
-    own = facts.select("session_id", F.col("window_id").alias("a"), F.col("c").alias("own"), F.col("w").alias("weight"))
-    scored = means.join(own, ["session_id", "a"]).groupBy("session_id", "a", "weight").agg(
-        F.max(F.when(F.col("c") == F.col("own"), F.col("mean"))).alias("inside"), F.min(F.when(F.col("c") != F.col("own"), F.col("mean"))).alias("outside")
-    )
+    w = F.col("end") - F.col("start")
+    unit = normalised(windows.select("session_id", "window_id", F.col(cluster).alias("own"), w.alias("weight"), "embedding"))
+    parts = unit.select("session_id", F.col("own").alias("c"), "weight", F.posexplode("embedding").alias("i", "x"))
+    sums = parts.groupBy("session_id", "c", "i").agg(F.sum(F.col("x") * F.col("weight")).alias("x"), F.sum("weight").alias("total"))
+    sums = sums.groupBy("session_id", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"), F.first("total").alias("total"))
+    mine = F.col("c") == F.col("own")
+    rest = F.col("total") - F.when(mine, F.col("weight")).otherwise(0.0)
+    # What the window adds to its own cluster's sum is taken out again.
+    near = dot(F.col("embedding"), F.col("sum")) - F.when(mine, F.col("weight") * dot(F.col("embedding"), F.col("embedding"))).otherwise(0.0)
+    means = unit.join(sums, "session_id").select("session_id", "window_id", "weight", mine.alias("mine"), F.when(rest > 1e-9, (rest - near) / rest).alias("mean"))
+    scored = means.groupBy("session_id", "window_id", "weight").agg(F.max(F.when(F.col("mine"), F.col("mean"))).alias("inside"), F.min(F.when(~F.col("mine"), F.col("mean"))).alias("outside"))
     s = F.when(F.col("inside").isNull() | F.col("outside").isNull(), 0.0).otherwise((F.col("outside") - F.col("inside")) / F.greatest("inside", "outside"))
     return scored.groupBy("session_id").agg((F.sum(s * F.col("weight")) / F.sum("weight")).alias("silhouette"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmura.operators import clustering, signal
+from murmura.operators import clustering, discovery, signal, vectors
 from murmura.sources import adapters as src
 from murmura.streaming import segmenter, stitching
 
@@ -36,5 +36,34 @@ def music_features(spark, sf_dir):
     return measured.select("piece", "kind", "verdict", "confident", *(F.bround(c, 6).alias(c) for c in ("rms", "seconds", "music")))
 
 
-QUERIES = {f.__name__: f for f in (vad_segments, change_points, cluster_speakers, speaker_timeline, stitch_identities, music_features)}
-SQL: dict[str, str] = {}
+def greedy_speakers(spark, sf_dir):
+    return discovery.greedy(src.windows(spark, sf_dir))
+
+
+def new_voices(spark, sf_dir):
+    """Voices beside the first two labels; these embeddings have no voices, so ``far`` alone decides."""
+    rows = src.windows(spark, sf_dir)
+    known = vectors.centroids(rows.filter("label < 2"), "label").withColumnRenamed("label", "cluster")
+    found = discovery.discover(rows, known, discovery.Discovery(far=0.97))
+    return found.select("session_id", "windows", "path")
+
+
+def fresh_windows(spark, sf_dir):
+    """Windows as they come from passes that overlap: every fifth begins before the one in front of it."""
+    rows = src.windows(spark, sf_dir).withColumn("start", F.when(F.col("window_id") % 50 >= 40, F.col("start") - 1.5).otherwise(F.col("start")))
+    return discovery.fresh_windows(rows).select("session_id", "window_id")
+
+
+def resampled(spark, sf_dir):
+    samples = src.windows(spark, sf_dir).select("session_id", "window_id", F.col("embedding").alias("samples"))
+    out = discovery.resample(samples, 48000, 16000)
+    return out.select("session_id", "window_id", F.posexplode("samples").alias("i", "x")).select("session_id", "window_id", "i", F.bround("x", 6).alias("x"))
+
+
+QUERIES = {f.__name__: f for f in (vad_segments, change_points, cluster_speakers, speaker_timeline, stitch_identities, music_features, greedy_speakers, new_voices, fresh_windows, resampled)}
+SQL: dict[str, str] = {
+    "fresh_windows": src.with_sql("windows", """WITH a AS (SELECT session_id, window_id, CASE WHEN window_id % 50 >= 40 THEN start - 1.5e0 ELSE start END AS start FROM windows),
+b AS (SELECT *, max(start) OVER (PARTITION BY session_id ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM a)
+SELECT session_id, window_id FROM b WHERE latest IS NULL OR start > latest + 0.001e0"""),
+    "resampled": src.with_sql("windows", "SELECT session_id, window_id, i::INT AS i, round_even(embedding[3 * i + 1]::DOUBLE, 6) AS x FROM windows, range(21) AS r(i)"),
+}

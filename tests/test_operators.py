@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import text as T
 from murmura.functions.assign import assignment, linkage_cuts
-from murmura.operators import clustering, intervals, scoring, signal, telemetry, tenancy, transcript
+from murmura.operators import clustering, discovery, intervals, scoring, signal, telemetry, tenancy, transcript
 from murmura.sources import annotations
 from murmura.streaming import segmenter, stitching
 
@@ -312,6 +312,53 @@ def test_stitching(spark):
     assert not any(got[0, i][1] for i in range(3)) and all(got[b, i][1] for b in range(1, 6) for i in range(3))
 
 
+def voices(spark, plan, seed=3):
+    """Windows (session, voice, number) of orthogonal voices with a little noise, 2 s each."""
+    rng = np.random.default_rng(seed)
+    own = np.linalg.qr(rng.normal(size=(16, 16)))[0].T
+    rows, k = [], 0
+    for session, voice, n in plan:
+        for _ in range(n):
+            rows.append((session, k, k * 0.75, k * 0.75 + 2.0, (own[voice] + 0.01 * rng.normal(size=16)).tolist(), voice))
+            k += 1
+    known = spark.createDataFrame([(s, v, own[v].tolist()) for s in {s for s, _, _ in plan} for v in (0, 1)], "session_id long, cluster int, embedding array<double>")
+    return spark.createDataFrame(rows, "session_id long, window_id long, start double, end double, embedding array<double>, voice int"), known
+
+
+def test_new_voices(spark):
+    # Session 4 has many voices once each: far from all that is known, and from one another.
+    once = [(4, v, 1) for v in range(2, 16)]
+    rows, known = voices(spark, [(1, 0, 5), (1, 1, 5), (1, 2, 4), (2, 0, 5), (2, 2, 3), (3, 0, 5), (3, 1, 5), *once, (5, 3, 1)])
+    got = {r.session_id: (r.path, r.windows) for r in discovery.discover(rows, known).collect()}
+    assert got == {1: ("strict", 4), 2: ("short", 3)}
+
+
+def test_greedy(spark):
+    rows, _ = voices(spark, [(1, 0, 4), (1, 1, 4), (1, 0, 3), (1, 2, 4), (2, 5, 2), (2, 4, 2)])
+    got = {r.window_id: r.cluster for r in discovery.greedy(rows).collect()}
+    first: dict = {}
+    for r in sorted(rows.collect(), key=lambda r: r.window_id):
+        assert got[r.window_id] == first.setdefault((r.session_id, r.voice), got[r.window_id])
+    assert first == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (2, 5): 0, (2, 4): 1}
+
+
+@pytest.mark.parametrize(("source", "target"), [(48000, 16000), (44100, 16000), (8000, 16000)])
+def test_resample(spark, source, target):
+    x = np.sin(np.arange(50) / 3).tolist()
+    df = spark.createDataFrame([(0, x), (1, []), (2, [1.0])], "key long, samples array<double>")
+    got = {r.key: r.samples for r in discovery.resample(df, source, target).collect()}
+    at = np.arange(int(50 // (source / target))) * (source / target)
+    assert np.allclose(got[0], np.interp(at, np.arange(50), x)) and got[1] == []
+
+
+def test_wav_round_trip(spark, tmp_path):
+    pcm = np.arange(-500, 500, dtype=np.int16).tobytes()
+    (row,) = discovery.wav_bytes(spark.createDataFrame([(bytearray(pcm),)], "pcm binary")).collect()
+    (tmp_path / "a.wav").write_bytes(row.wav)
+    (back,) = annotations.wav(spark, str(tmp_path)).collect()
+    assert bytes(back.pcm) == pcm and back.seconds == 1000 / 16000
+
+
 # --- tenancy, telemetry ---------------------------------------------------------------
 
 
