@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from murmura.functions import service as S
 from murmura.functions import text as T
 from murmura.functions.assign import assignment, linkage_cuts
 from murmura.operators import clustering, discovery, intervals, scoring, signal, telemetry, tenancy, transcript
@@ -312,7 +313,7 @@ def test_stitching(spark):
     assert not any(got[0, i][1] for i in range(3)) and all(got[b, i][1] for b in range(1, 6) for i in range(3))
 
 
-def voices(spark, plan, seed=3):
+def mixed_voices(spark, plan, seed=3):
     """Windows (session, voice, number) of orthogonal voices with a little noise, 2 s each."""
     rng = np.random.default_rng(seed)
     own = np.linalg.qr(rng.normal(size=(16, 16)))[0].T
@@ -328,13 +329,13 @@ def voices(spark, plan, seed=3):
 def test_new_voices(spark):
     # Session 4 has many voices once each: far from all that is known, and from one another.
     once = [(4, v, 1) for v in range(2, 16)]
-    rows, known = voices(spark, [(1, 0, 5), (1, 1, 5), (1, 2, 4), (2, 0, 5), (2, 2, 3), (3, 0, 5), (3, 1, 5), *once, (5, 3, 1)])
+    rows, known = mixed_voices(spark, [(1, 0, 5), (1, 1, 5), (1, 2, 4), (2, 0, 5), (2, 2, 3), (3, 0, 5), (3, 1, 5), *once, (5, 3, 1)])
     got = {r.session_id: (r.path, r.windows) for r in discovery.discover(rows, known).collect()}
     assert got == {1: ("strict", 4), 2: ("short", 3)}
 
 
 def test_greedy(spark):
-    rows, _ = voices(spark, [(1, 0, 4), (1, 1, 4), (1, 0, 3), (1, 2, 4), (2, 5, 2), (2, 4, 2)])
+    rows, _ = mixed_voices(spark, [(1, 0, 4), (1, 1, 4), (1, 0, 3), (1, 2, 4), (2, 5, 2), (2, 4, 2)])
     got = {r.window_id: r.cluster for r in discovery.greedy(rows).collect()}
     first: dict = {}
     for r in sorted(rows.collect(), key=lambda r: r.window_id):
@@ -359,6 +360,11 @@ def test_wav_round_trip(spark, tmp_path):
     assert bytes(back.pcm) == pcm and back.seconds == 1000 / 16000
 
 
+def test_messages(spark):
+    row = spark.range(1).select(S.message("status", state=F.lit("live"), error=F.lit(None).cast("string")).alias("m"), S.id_parts(F.lit("no-id"))["at_ms"].alias("a"))
+    assert [tuple(r) for r in row.collect()] == [('{"type":"status","state":"live"}', None)]
+
+
 # --- tenancy, telemetry ---------------------------------------------------------------
 
 
