@@ -48,13 +48,32 @@ def repetition_guard(spark, sf_dir):
     return T.with_repetition(documents(spark, sf_dir), "text").select("doc_id", F.bround("unique_ratio", 6).alias("unique_ratio"), "top_trigram", "degenerate")
 
 
-def with_context(df):
-    """The text of the document before as context, within the same language."""
-    return df.withColumn("context", F.coalesce(F.right(F.lag("text").over(Window.partitionBy("lang").orderBy("doc_id")), F.lit(1200)), F.lit("")))
+def with_context(df, last=1200, rows=500):
+    """The end of the document before as context, within the same language.
+
+    A language may hold most of the table, so neighbours meet in ranges of doc_id of about ``rows``
+    documents; a range's first document gets its context from the range before, of which one row is left.
+    """
+    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    width = 1 if low is None else (high - low) // (n // rows + 1) + 1
+    df = df.withColumns(
+        {
+            "_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")),
+            "_range": F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)),
+            "_end": F.right("text", F.lit(last)),
+        }
+    )
+    order = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)))
+    ends = df.groupBy("_lang", "_range").agg(F.max_by("_end", order).alias("_before"))
+    ends = ends.withColumn("_before", F.lag("_before").over(Window.partitionBy("_lang").orderBy("_range")))
+    w = Window.partitionBy("_lang", "_range").orderBy("doc_id")
+    df = df.withColumns({"_n": F.row_number().over(w), "_lag": F.lag("_end").over(w)}).join(ends, ["_lang", "_range"], "left")
+    context = F.coalesce(F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag")), F.lit(""))
+    return df.withColumn("context", context).drop("_lang", "_range", "_end", "_n", "_lag", "_before")
 
 
 def context_echo(spark, sf_dir):
-    df = with_context(documents(spark, sf_dir)).withColumn("text", F.substring("text", 1, 300)).withColumn("context", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.col("context")))
+    df = with_context(documents(spark, sf_dir)).withColumn("context", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.col("context")))
     return T.with_echo(df, "text", "context").select("doc_id", F.bround("echo_share", 6).alias("share"), "echo")
 
 

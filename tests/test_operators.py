@@ -19,6 +19,7 @@ from murmura.functions import service as S
 from murmura.functions import text as T
 from murmura.functions.assign import assignment, linkage_cuts
 from murmura.operators import clustering, discovery, intervals, scoring, signal, telemetry, tenancy, transcript
+from murmura.plans import guards
 from murmura.sources import annotations
 from murmura.streaming import segmenter, stitching
 
@@ -66,6 +67,42 @@ def test_echo(spark):
     assert [r.echo for r in T.with_echo(df, "text", "context").collect()] == [True, False, False, False]
 
 
+def echo_share(text, context):
+    """The share of the text's 3-grams that the context has, by counting."""
+    own, given = ([" ".join(t[i : i + 3]) for i in range(len(t) - 2)] for t in ((x or "").lower().split() for x in (text, context)))
+    return round(sum(g in set(given) for g in own) / len(own), 6) if own else 0.0
+
+
+def test_echo_counts_each_gram(spark):
+    """Few and many shared 3-grams, repeated ones too, all, none, no context."""
+    rng = np.random.default_rng(5)
+    words = [" ".join(rng.choice(list("abcdefg"), n)) for n in (3, 40, 400, 3000)]
+    rows = [(x, y) for x in words for y in [*words, "", None, " ".join("tuvwxyz" * 9)]] + [(None, "a b c")]
+    df = spark.createDataFrame(rows, "text string, context string")
+    got = [(r.text, r.context, round(r.echo_share, 6)) for r in T.with_echo(df, "text", "context").collect()]
+    assert got == [(*r, echo_share(*r)) for r in rows] and len({x for *_, x in got}) > 6
+
+
+def test_context_echo_judges_whole_texts(spark, tmp_path):
+    """An echo that begins after 300 characters, contexts across ranges of ids, languages apart, a null language."""
+    rng = np.random.default_rng(7)
+    filler = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
+    rows, last = [], {}
+    for i in range(1, 1300):
+        lang = ["en", "en", "de", None][i % 4]
+        before = last.get(lang, "")
+        text = filler(60) + " " + before[-500:] if i % 3 else filler(20)
+        rows.append((i * 7, text, lang, len(text)))
+        last[lang] = text
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want, last = {}, {}
+    for i, text, lang, _ in rows:
+        want[i] = echo_share(text, text if i % 5 == 0 else last.get(lang, "")[-1200:])
+        last[lang] = text
+    got = {r.doc_id: r.share for r in guards.context_echo(spark, str(tmp_path)).collect()}
+    assert got == want and 0.2 < want[rows[3][0]] < 1
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "a.", "B", "..."]), max_size=12))
 def test_longest_run_and_trigrams(spark, toks):
