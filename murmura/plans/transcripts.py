@@ -75,7 +75,7 @@ def recording_epochs(spark, sf_dir):
 
 
 def repeat_guard(spark, sf_dir):
-    return op.repeat_guard(chunks(spark, sf_dir).withColumn("text", F.substring("text", 1, 40))).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.col("repeated").cast("long")).alias("n_repeated"))
+    return op.repeat_guard(chunks(spark, sf_dir)).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.col("repeated").cast("long")).alias("n_repeated"))
 
 
 def rolling_context(spark, sf_dir):

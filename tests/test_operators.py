@@ -19,7 +19,7 @@ from murmura.functions import service as S
 from murmura.functions import text as T
 from murmura.functions.assign import assignment, linkage_cuts
 from murmura.operators import clustering, discovery, intervals, scoring, signal, telemetry, tenancy, transcript
-from murmura.plans import guards
+from murmura.plans import guards, transcripts
 from murmura.sources import annotations
 from murmura.streaming import segmenter, stitching
 
@@ -103,6 +103,15 @@ def test_context_echo_judges_whole_texts(spark, tmp_path):
     assert got == want and 0.2 < want[rows[3][0]] < 1
 
 
+def test_repeat_guard_compares_whole_texts(spark, tmp_path):
+    """Turns that share 40 characters and differ then, a true repeat, and a text that is blank at first."""
+    opening = "x" * 40
+    turns = [opening + " one", opening + " two", opening + " two", " " * 40 + "spoken after all"]
+    rows = [(1, k, "user", t) for k, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in transcripts.repeat_guard(spark, str(tmp_path)).collect()] == [(1, 4, 1)]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "a.", "B", "..."]), max_size=12))
 def test_longest_run_and_trigrams(spark, toks):
