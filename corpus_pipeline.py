@@ -24,8 +24,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings of 400 or more that stand in more than one place; documents left empty go."""
-    return passages.drop_repeats(docs)
+    """Cuts passages of over 50 words, and byte strings of 400 or more, that stand in more than one place; documents left empty go."""
+    return passages.drop_repeats(docs, words=51)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

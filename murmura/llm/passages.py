@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm.common import cut, mix, slices, small_batches, table, text_view
+from murmura.llm.common import cut, mix, slices, small_batches, table, text_view, word_bounds, word_hashes
 
 #: Contexts of one bucket that a task refines together.
 MOST = 4000
@@ -260,6 +260,44 @@ def spans(docs: DataFrame, texts: DataFrame, rule: Repeat) -> DataFrame:
     return both.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
+def _word_codes(docs: DataFrame) -> DataFrame:
+    """(t1, t2, doc_id, text): the key of each row's text, and 8 bytes of hash for each of its words instead of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts, ends = text_view(batch.column("text"))
+            codes = []
+            for i, j in slices(starts, ends):
+                part, base = data[starts[i] : ends[j - 1]], starts[i]
+                begin, end, row = word_bounds(part, starts[i:j] - base, ends[i:j] - base)
+                raw, at = word_hashes(part, begin, end).tobytes(), 8 * np.searchsorted(row, np.arange(j - i + 1))
+                codes += [raw[b:e] for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("k1"), pa.array(codes, pa.binary())], names=["t1", "t2", "doc_id", "text"])
+
+    return _keyed(docs.select("doc_id", "text")).select("k1", "k2", "text").mapInArrow(run, "t1 long, t2 long, doc_id long, text binary")
+
+
+def word_runs(docs: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, runs): the runs of at least ``words`` words that stand in more than one place, as unsorted spans of word codes.
+
+    A string of ``words`` codes repeats where and only where the words do, whatever stands between them.
+    """
+    rule = Repeat(length=8 * words, gram=2 * words)
+    coded = cut(_word_codes(docs))
+    keys = _keyed(coded)
+    found = spans(coded.select("doc_id", "text"), keys.select("doc_id", "text", "k1", "k2"), rule)
+    keys = keys.select("t1", "t2", "k1", "k2").distinct()
+    return keys.join(found, ["k1", "k2"]).select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.col("spans").alias("runs"))
+
+
+def _word_cuts(raw: bytes, runs: list[dict]) -> list[tuple[int, int]]:
+    """The bytes from the first word's start to the last word's end of each run of word codes."""
+    data = np.frombuffer(raw, np.uint8)
+    begin, end, _ = word_bounds(data, np.zeros(1, np.int64), np.array([len(data)]))
+    whole = [(-(-r["start"] // 8), r["end"] // 8) for r in runs]
+    return [(int(begin[b]), int(end[e - 1])) for b, e in whole if e > b]
+
+
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     order = np.argsort(starts, kind="stable")
     out: list[list[int]] = []
@@ -317,18 +355,25 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_repeats(docs: DataFrame, rule: Repeat = Repeat()) -> DataFrame:
+def drop_repeats(docs: DataFrame, rule: Repeat = Repeat(), words: int | None = None) -> DataFrame:
     """``docs`` without the repeated bytes; only whole characters go, and rows that lose all their text go, too.
 
-    A column ``n_chars`` is set to the new length.
+    With ``words``, runs of that many words that stand in more than one place go as well, however few
+    bytes they have.  A column ``n_chars`` is set to the new length.
     """
     columns = docs.columns
-    joined = _with_spans(docs, columns, rule).select(*columns, "spans")
+    joined = _with_spans(docs, columns, rule)
+    if words:
+        joined = joined.join(word_runs(docs, words), ["k1", "k2"], "left")
+    joined = joined.select(*columns, "spans", *(["runs"] if words else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for raw, gone in _cuts(batch):
+            runs = batch.column("runs").to_pylist() if words else [None] * batch.num_rows
+            for (raw, gone), more in zip(_cuts(batch), runs, strict=True):
+                if more:
+                    gone = _merged(*np.array([*gone, *_word_cuts(raw, more)], np.int64).reshape(-1, 2).T)
                 parts, at = [], 0
                 for b, e in gone:
                     while b < e and raw[b] & 0xC0 == 0x80:

@@ -141,6 +141,22 @@ def test_repeats_counted_and_small(spark, none, monkeypatch):
     assert passages.repeats(none).count() == 0
 
 
+def test_pipeline_cuts_passages_of_51_words(spark):
+    """Short words, under 400 bytes, other white space between them; 50 words stay, and so do clean documents."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), n))
+    own = lambda n: " ".join(word(9) for _ in range(n))
+    for size in (1, 3):
+        passage, short = [word(size) for _ in range(51)], [word(size) for _ in range(50)]
+        a, b, c, d = own(40), own(30), own(20), own(70)
+        texts = [f"{a} {' '.join(passage)} {b}", f"{c}\n{chr(10).join(passage)}", f"{own(9)} {' '.join(short)} {own(9)}", f"{' '.join(short)} {own(9)}", d, None]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, df, "").collect()}
+        assert got == dict(enumerate([f"{a}  {b}", f"{c}\n", *texts[2:]]))
+
+
 def test_repeats_cut_whole_characters(docs, texts):
     out = passages.drop_repeats(docs)
     rows = {r.doc_id: r for r in out.collect()}
