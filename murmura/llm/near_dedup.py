@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmura.llm.common import LOWER, cut, mix, slices, small_batches, table, text_view, word_bounds, word_hashes
@@ -94,7 +94,7 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, digest (d1, d2) and sketch of each row."""
+    """doc_id, n_shingles, digest (d1, d2), sketch and the text's hash of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +107,11 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
             bounds = np.cumsum([0, *map(len, flat)]).astype(np.int32)
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))],
-                names=["doc_id", "n_shingles", "d1", "d2", "sketch"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), batch.column("text_hash")],
+                names=["doc_id", "n_shingles", "d1", "d2", "sketch", "text_hash"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, text_hash long")
 
 
 # --- candidates -----------------------------------------------------------------------
@@ -268,25 +268,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
+    return _near_duplicates(docs, near).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _near_duplicates(docs: DataFrame, near: Near) -> DataFrame:
+    """The same with the digest (d1, d2) of the row's set and the hash of its text."""
     small_batches(docs.sparkSession)
     rows = cut(sketches(docs, near))
     # A class's representative brings its sketch; repeated rows of it are alike.
     first = F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("first")
     classes = cut(rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), first))
     chosen = classes.filter("rep IS NOT NULL").select("rep", "first.n_shingles", "first.sketch")
-    members = rows.select("doc_id", "n_shingles", "d1", "d2")
+    members = rows.select("doc_id", "n_shingles", "d1", "d2", "text_hash")
     places = blocked(merged_lists(chosen, near))
     found = components(links(docs, places, near))
     named = classes.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = members.join(named, ["d1", "d2"], "left")
     own: Column = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "n_shingles", "d1", "d2", "text_hash", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component, with all their columns."""
-    kept = near_duplicates(docs, near).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each group of near-duplicates, with all its columns; rows without words stay.
+
+    Of the rows whose document is the first of its component one stays for each doc_id and set of shingles; of rows
+    with a null doc_id one for each set, if no row with a doc_id has the same set.
+    """
+    found = _near_duplicates(docs, near).filter("n_shingles > 0").groupBy("doc_id", "d1", "d2", "text_hash").agg(F.first("kept").alias("kept"))
+    found = cut(found)
+    stay = found.filter("kept").groupBy("doc_id", "d1", "d2").agg(F.min("text_hash").alias("text_hash"))
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    names = [*key, "_text"]
+    stay = stay.withColumns(key).select(*key, F.col("text_hash").alias("_text"))
+    gone = found.withColumns(key).select(*key, F.col("text_hash").alias("_text")).join(stay, names, "left_anti").withColumn("_gone", F.lit(True))
+    rows = docs.withColumns(key | {"_text": F.xxhash64("text")}).join(gone, names, "left").filter("_gone IS NULL")
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy("_text")))
+    return rows.filter((F.col("_n") == 1) | wordless).select(*docs.columns)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

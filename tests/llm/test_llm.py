@@ -81,6 +81,19 @@ def test_near_duplicates_keep_columns(docs):
     assert {r.doc_id for r in out.collect()} >= {0, 4, 5, 6} and 1 not in {r.doc_id for r in out.collect()}
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    """Rows with one doc_id and text, or null ids, leave one row; the stage after doesn't erase it."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{k}{i}word" for i in range(90)) for k in "abcd")
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (2, c), (2, c), (None, c), (3, c), (4, d), (4, b), (4, ""), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = corpus_pipeline.one_of_each_group(spark, df, "")
+    got = Counter(map(tuple, one.collect()))
+    assert got == Counter([(1, a), (2, c), (4, d), (4, b), (4, ""), (None, None), (None, None)])
+    assert Counter(map(tuple, corpus_pipeline.without_repeats(spark, one, "").collect())) == got
+
+
 def test_blocks_of_a_long_list(spark, monkeypatch):
     """Lists in many blocks give the same links as in one."""
     words = prose(9, 200).split()
