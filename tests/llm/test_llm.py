@@ -409,7 +409,7 @@ def brute_edits(a, b):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), max_size=20))
 def test_edits(pattern, text):
-    assert decontaminate.edits_within(pattern, text)[0] == brute_edits(pattern, text)
+    assert decontaminate.edits_within(pattern, text)[0] == brute_edits(pattern, text) == least_edits(pattern, text)
 
 
 def test_leaks_recall(spark, small):
@@ -431,14 +431,76 @@ def test_leaks_recall(spark, small):
     assert {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()} == {r[0] for r in rows} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("length", [8, 10, 15, 30, 70])
+@pytest.mark.parametrize("kind", ["substitute", "insert", "delete", "mixed"])
+def test_leaks_recall_by_length(length, kind):
+    """A fifth of an item's words edited in each of the three ways, or in all: 0.9 at least are found."""
+    rng = np.random.default_rng(length)
+    vocabulary = [f"w{i}" for i in range(30_000)]
+    items = [list(rng.choice(vocabulary, length)) for _ in range(60)]
+    index = decontaminate.Items([" ".join(x) for x in items], decontaminate.Lsh())
+    found = 0
+    for k, item in enumerate(items):
+        w = list(item)
+        for e in range(int(0.2 * length)):
+            at, how = rng.integers(len(w)), kind if kind != "mixed" else ["substitute", "insert", "delete"][e % 3]
+            w[at : at + (how != "insert")] = [] if how == "delete" else [f"edit{e}"]
+        data = np.frombuffer(" ".join([*rng.choice(vocabulary, 30), *w, *rng.choice(vocabulary, 30)]).encode(), np.uint8)
+        hashes, row = decontaminate.words(data, np.zeros(1, np.int64), np.array([len(data)]))
+        found += k in {item for _, item, *_ in index.leaks(hashes, row)}
+    assert found >= 0.9 * len(items)
+
+
+def least_edits(a, b):
+    """The same as ``brute_edits``, a row of the table at a time."""
+    b, steps = np.array(b, object), np.arange(len(b) + 1)
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        new = np.concatenate([[row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+LEAK_WORD = re.compile(r"[\u3040-\u9fff\u0e00-\u0e7f]|[a-z0-9à-öø-ÿ]+")
+
+
+def brute_leaks(texts, items):
+    """(document, item, edits): all pairs, by edit distance over whole texts; short items word for word."""
+    out = set()
+    items = [(k, LEAK_WORD.findall((x or "").lower())) for k, x in items]
+    for i, t in enumerate(texts):
+        w = LEAK_WORD.findall((t or "").lower())
+        for k, p in items:
+            if not p:
+                continue
+            edits = least_edits(p, w) if len(p) >= 8 else 0 if any(w[j : j + len(p)] == p for j in range(len(w))) else 1
+            if edits <= (int(0.2 * len(p)) if len(p) >= 8 else 0):
+                out.add((i, k, edits))
+    return out
+
+
+def test_leaks_against_brute_force(spark, small):
+    """Whole tables of the small data, with short items and a script without spaces besides."""
+    docs = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    docs = [t for t in docs if len(t) < 3000] + ["Er sagte: YES, two-words!", "no two words here, two", "一二三四五六七八九十。", "x 一二三四五X六七八九十 y", None, "ÄRGER und Ärger"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    items += [(901, "yes"), (902, "two words"), (903, "一二三四五六七八九十"), (904, "…"), (905, None), (906, "ärger UND ärger"), (907, "三四")]
+    got = decontaminate.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.edits) for r in got.collect()} == brute_leaks(docs, items)
+
+
 def test_leaks_edges(spark, none, docs, monkeypatch):
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, prose(1, 120)), (4, prose(1, 120))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, prose(1, 120)), (4, prose(1, 120)), (5, prose(6, 3000))], "item_id long, text string")
     assert decontaminate.find_leaks(none, bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     want = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
-    assert [(d, i) for d, i, *_ in want if d in (0, 1)] == [(0, 4), (0, 4), (1, 4), (1, 4)]
-    monkeypatch.setattr(decontaminate, "MOST_CHARS", 100)
+    assert [(d, i) for d, i, *_ in want] == [(0, 4), (0, 4), (1, 4), (1, 4), (2, 4), (2, 4), (3, 4), (3, 4), (15, 5)]
+    monkeypatch.setattr(decontaminate, "MOST_CHARS", 8000)
     assert sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == want
+    odd = docs.selectExpr("doc_id AS item_id", "text", "doc_id", "'x' AS edits", "1 AS spans")
+    kept = decontaminate.drop_leaks(odd, bench.selectExpr("CAST(item_id AS STRING) AS item_id", "text"))
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == set(range(4, 19)) - {15}
+    assert {r.item_id for r in decontaminate.find_leaks(docs, bench.selectExpr("CAST(item_id AS STRING) AS item_id", "text")).collect()} == {"4", "5"}
 
 
 # --- SentencePiece --------------------------------------------------------------------
