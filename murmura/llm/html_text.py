@@ -2,13 +2,17 @@
 
 A page becomes a tree of elements with its blocks of text as leaves.  Every block gives points
 for its length and its commas, less what stands in links; they pass in full to the element that
-holds the block and in halves to each ancestor above.  Elements that are never content (menus, headers,
-footers, forms, scripts, and those whose class or id says so) take no part.  The best element
-and those of its siblings that look like text as well are kept with all their blocks.
+holds the block and in halves to each ancestor above, until nothing is left of them.  Elements that are
+never content (menus, headers, footers, forms, scripts, and those whose class, role or id says so) take
+no part.  The best element is kept with all its blocks.  Where no element says that it is the article, the
+best one may be a part of it: it gives way to its parent while that one is a container of the same text (it
+has a heading of its own, its name says that it holds content, or further children are of the best one's kind), and
+then its siblings are kept that look like text as well.
 
 Edge cases: null or empty html gives no text; tags cut off at the end are dropped; unclosed
 paragraphs end where the next block begins; a page without any block outside menus and the like
-gives no text; repeated pages are read each for itself; extra columns are ignored.
+gives no text; of elements with equal points the first to be closed by a block is taken; very long and very deep pages
+are read whole; repeated pages are read each for itself; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,27 +27,45 @@ from pyspark.sql import DataFrame, SparkSession
 from murmura.llm.common import small_batches, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Kinds of HTML elements.
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
-NEVER = frozenset("nav header footer aside form button select option label input menu dialog head figure figcaption".split()) | RAW
+NEVER = frozenset("nav header footer aside form button select option label input menu dialog head".split()) | RAW
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br ruby rt rp".split())
-NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|gdpr|popup|modal|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|comments?|disqus|repl(?:y|ies)|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip|hidden)(?:$|[\s_-])", re.I)
+#: Parts of a name that mark what isn't content, and names that do so only as a whole or with what they hold.
+NOT_CONTENT = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notices?|gdpr|popup|modal|nav\w*|menu|breadcrumbs?|sidebar|widget|footer|header|masthead|comments?|disqus|share|sharing|social|newsletter|subscribe|signup|login|pagination|pager|toolbar)(?:$|[_-])", re.I)
+NOT_CONTENT_WHOLE = re.compile(r"^(?:side|repl(?:y|ies)|discussion|related|recommend\w*|search|skip|hidden)(?:[_-]?(?:bar|box|list|links?|posts?|area|block|wrapper|container|items?|articles?|form|results|content))*$", re.I)
+CONTENT = re.compile(r"(?:^|[_-])(?:content|article|post|entry|story|main|text|body)(?:$|[_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Their ids are the targets of links, not names of what they hold.
+TARGETS = HEADINGS | frozenset("section p li dt dd blockquote figure figcaption pre table".split())
 #: Closed by the start of any block.
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
-ROOMS = frozenset("ul ol dl table tbody thead article section main div body html".split())
+ROOMS = frozenset("ul ol dl table tbody thead article section main div body html blockquote figure details".split())
 BONUS = {"article": 30.0, "main": 20.0}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "skip", "score", "blocks", "children")
+    __slots__ = ("tag", "parent", "skip", "score", "children", "names", "size", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
-        self.score, self.blocks, self.children = 0.0, [], []
+    def __init__(self, tag: str, parent: Node | None, skip: bool, names: tuple[str, ...] = ()):
+        self.tag, self.parent, self.skip, self.names = tag, parent, skip, names
+        self.score, self.children = 0.0, []
+        #: Characters of the blocks that it holds itself, and of those in links.
+        self.size = self.linked = 0
+
+
+def is_boilerplate(tag: str, names: dict[str, list[str]]) -> bool:
+    """Whether an element isn't content by its kind, or by a class, a role or (of containers) an id."""
+    if tag in NEVER:
+        return True
+    if tag in ("html", "body", "article", "main"):
+        return False
+    said = names.get("class", []) + names.get("role", []) + ([] if tag in TARGETS else names.get("id", []))
+    return any(NOT_CONTENT.search(x) or NOT_CONTENT_WHOLE.search(x) for x in said)
 
 
 def _block(node: Node, parts: list[tuple[str, bool]], order: list) -> None:
@@ -55,10 +77,11 @@ def _block(node: Node, parts: list[tuple[str, bool]], order: list) -> None:
     if not text or node.skip:
         return
     order.append((node, text))
+    node.size, node.linked = node.size + total, node.linked + linked
     points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / max(1, total))
     if node.tag in PARAGRAPHS and node.parent is not None:
         node = node.parent
-    while node is not None:
+    while node is not None and points > 1e-6:
         node.score += points
         points /= 2
         node = node.parent
@@ -97,9 +120,10 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 x = x.parent
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in ROOMS:
                 continue
-            said = " ".join(filter(None, (g for groups in _NAMED.findall(m[3]) for g in groups)))
-            never = tag in NEVER or bool(said and tag not in ("html", "body", "article", "main") and NOT_CONTENT.search(said))
-            child = Node(tag, node, node.skip or never)
+            names: dict[str, list[str]] = {}
+            for kind, *values in _NAMED.findall(m[3]):
+                names[kind.lower()] = "".join(values).split()
+            child = Node(tag, node, node.skip or is_boilerplate(tag, names), tuple(x for v in names.values() for x in v))
             node.children.append(child)
             node = child
             if tag in RAW:
@@ -115,6 +139,33 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     return root, order
 
 
+def _link_share(node: Node) -> float:
+    size = linked = 0
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        size, linked = size + x.size, linked + x.linked
+        todo += x.children
+    return linked / max(1, size)
+
+
+def _whole_article(best: Node) -> Node:
+    """The container of all of the text that the best element is a part of."""
+    while best.tag not in BONUS and best.parent is not None and best.parent.tag not in ("", "html", "body"):
+        parent = best.parent
+        others = [x for x in parent.children if x is not best and not x.skip]
+        whole = (
+            parent.tag in BONUS
+            or any(x.tag in HEADINGS for x in others)
+            or any(CONTENT.search(name) for name in parent.names)
+            or any(x.tag == best.tag and x.names == best.names and x.score >= 0.2 * best.score for x in others)
+        )
+        if not whole or any(_link_share(x) > 0.5 for x in others if x.tag not in HEADINGS):
+            break
+        best = parent
+    return best
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the best element and of its text-like siblings, one a line."""
     if not html:
@@ -132,6 +183,7 @@ def main_text(html: str | None) -> str:
             if node.tag not in PARAGRAPHS and score > most:
                 best, most = node, score
             node = node.parent
+    best = _whole_article(best)
     kept = {id(best)}
     if best.parent is not None and best.tag not in BONUS:
         for sibling in best.parent.children:

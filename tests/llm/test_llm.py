@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -429,6 +430,69 @@ def test_html(html, want):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><div id=content><h1>Short title</h1><div><p>{BODY}<p>{BODY}</div><div><p>Short end.</p></div></div><div class=footer>f</div>", f"Short title\n{BODY}\n{BODY}\nShort end."),
+        (f"<article><h2 id=related-work>Related work</h2><section id=discussion><p>{BODY}</section><div class=side-by-side><p>a b</div><figure><figcaption>A picture</figcaption></figure></article>", f"Related work\n{BODY}\na b\nA picture"),
+        (f"<body><div class=row><div class=left><a href=x>menu one</a> <a href=y>menu two</a></div><div class=mid><p>{BODY}<p>{BODY}</div></div>", f"{BODY}\n{BODY}"),
+        (f"<main><p>{BODY}<div class='comments-area'><p>{BODY}</div><div id=related><p>x</div><div class='cookie-notice'>c</div><div role=search>s</div></main>", BODY),
+        (f"<body><div class=part><p>{BODY}</div><div class=part><p>{BODY}</div>", f"{BODY}\n{BODY}"),
+        ("<div>" * 3000 + f"<p>{BODY}" + "</div>" * 3000, BODY),
+        (f"<article>{'<blockquote>' * 2000}<p>{BODY}</article>", BODY),
+        ("<article><p>tie, a<p>tie, b</article><article><p>tie, c<p>tie, d</article>", "tie, a\ntie, b"),
+    ],
+)
+def test_html_whole_article(html, want):
+    assert html_text.main_text(html) == want
+
+
+class Plain(HTMLParser):
+    """The text of articles by the standard library's parser; what stands in elements of ``OUT`` is left out."""
+
+    OUT = {"script", "style", "nav", "footer", "header", "form"}
+    INLINE = {"a", "b", "i", "em", "strong", "span"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.out += tag in self.OUT
+        self.blocks[-1] += " " if tag == "br" else ""
+        if tag not in self.INLINE | {"br"}:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.blocks.append("")
+        self.inside -= tag == "article"
+        self.out -= tag in self.OUT
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.blocks[-1] += data
+
+
+def test_html_against_another_parser(spark, small):
+    """The whole table, whose pages all have an article."""
+    rows = {r.page_id: r.html for r in spark.read.parquet(f"{small}/../sf0.01/pages.parquet").collect()}
+    for r in html_text.op4_html_text(spark, f"{small}/../sf0.01").collect():
+        plain = Plain()
+        plain.feed(rows[r.page_id] or "")
+        plain.close()
+        assert r.text == "\n".join(filter(None, (" ".join(x.split()) for x in plain.blocks)))
+
+
+def test_html_columns(spark):
+    """Repeated rows, names that clash with the output's, and a long page."""
+    rows = [(1, "u", f"<p>{BODY}", "mine"), (1, "u", f"<p>{BODY}", "mine"), (None, None, None, None), (2, "v", "<article>" + f"<p>{BODY}</p>" * 20_000, "x")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in got[:3]) == [(0, None, "", 0), (1, "u", BODY, len(BODY)), (1, "u", BODY, len(BODY))]
+    assert got[3].text == "\n".join([BODY] * 20_000)
+
+
 def test_html_pages(spark, small):
     got = html_text.op4_html_text(spark, small).collect()
     assert all(r.n_chars == len(r.text) for r in got) and all("track(" not in r.text and "©" not in r.text for r in got)
