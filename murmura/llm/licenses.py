@@ -8,8 +8,8 @@ another of the same or a higher priority is suppressed, the rest are the text's
 Four plain phrases are counted besides (the base): their places, first and last word, labels.
 
 Edge cases: a null or empty text has no words and a score of 0; repeated rows are scanned each
-for itself; ties (equal intervals) go to the higher priority, then to both labels; very long
-texts are scanned whole; extra columns are ignored.
+for itself; ties (equal intervals) go to the higher priority, then to the first label by name; very long
+texts are scanned whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,7 +157,9 @@ def rules() -> list[tuple[int, str, str, str]]:
 
 def words(text: Column) -> Column:
     """The text's words with one space between them."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER_AZ, LOWER_AZ)
+    text = F.coalesce(text, F.lit(""))
+    # Only A-Z count as capitals; where all is ASCII the faster function says the same.
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER_AZ, LOWER_AZ))
     return F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
@@ -180,9 +182,8 @@ def _base(padded: Column, n_words: Column) -> dict[str, Column]:
     }
 
 
-def _places(padded: Column, rule: Column) -> Column:
-    """Where a rule matches: (start, negative end, negative priority, label)."""
-    marked = F.regexp_replace(padded, F.concat(F.lit("(?<= )(?:"), rule["expression"], F.lit(")(?= )")), F.lit("\x01$0\x02"))
+def _places(marked: Column, rule: Column) -> Column:
+    """Where a rule matches, from the text with its matches between marks: (start, negative end, negative priority, label)."""
     pieces = F.split(marked, "\x01")
     start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast("array<struct<start:int,back:int,rank:int,label:string>>").alias("found"))
 
@@ -200,10 +201,14 @@ TOP = 4
 
 def _detections(padded: Column) -> Column:
     """Labels and covered characters of the intervals that no other suppresses."""
-    known = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(n).alias("label"), F.lit(k).alias("keyword"), F.lit(x).alias("expression")) for p, n, k, x in rules()))
-    tried = F.filter(known, lambda r: F.contains(padded, r["keyword"]))
+    groups: dict[str, list[Column]] = {}
+    for priority, label, keyword, expression in rules():
+        # Each expression is a literal, so that it is compiled once and not for every text.
+        marked = F.regexp_replace(padded, F.lit(f"(?<= )(?:{expression})(?= )"), F.lit("\x01$0\x02"))
+        groups.setdefault(keyword, []).append(F.struct(F.lit(priority).alias("priority"), F.lit(label).alias("label"), marked.alias("marked")))
+    tried = F.flatten(F.array_compact(F.array(*(F.when(F.contains(padded, F.lit(k)), F.array(*found)) for k, found in groups.items()))))
     # Places in order of start, longer ones first: what holds a place comes before it.
-    places = F.array_sort(F.flatten(F.transform(tried, lambda r: _places(padded, r))))
+    places = F.array_sort(F.flatten(F.transform(F.filter(tried, lambda r: F.contains(r["marked"], F.lit("\x01"))), lambda r: _places(r["marked"], r))))
     start = F.struct(F.array_repeat(F.lit(0), TOP).alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("covered"), F.lit(0).alias("reach"))
 
     def step(acc: Column, m: Column) -> Column:
