@@ -1,50 +1,99 @@
-"""Scoring a speaker timeline against a reference: frames, collar, mapping, error rate."""
+"""Scoring a speaker timeline against a reference: pieces of time, collar, mapping, error rate.
 
-from __future__ import annotations
+Times are whole steps of ``STEP`` seconds.  Nothing is unfolded into frames: the bounds of turns and
+collars cut a session into pieces on which both speakers are constant, and pieces count by their length.
+"""
 
-from itertools import permutations
+from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds in a frame of the scoring grid.
+from murmura.functions.assign import assignment
+from murmura.session import ship
+
+#: Seconds in a step of the scoring grid.
 STEP = 0.01
 
 
-def grid(turns: DataFrame, name: str, step: float = STEP) -> DataFrame:
-    """The speaker of each frame a turn covers; a later turn overwrites an earlier one."""
-    a, b = F.rint(F.col("start") / step).cast("int"), F.rint(F.col("end") / step).cast("int") - 1
-    frames = turns.filter(a <= b).select("session_id", "run_id", "speaker", F.explode(F.sequence(a, b)).alias("frame"))
-    return frames.groupBy("session_id", "frame").agg(F.max_by("speaker", "run_id").alias(name))
+def _steps(turns: DataFrame, step: float) -> DataFrame:
+    """Turns (session_id, run_id, speaker) with their bounds a and b in steps, b not included; empty ones left out."""
+    bounds = {"a": F.rint(F.col("start") / step).cast("long"), "b": F.rint(F.col("end") / step).cast("long")}
+    return turns.select("session_id", "run_id", "speaker", *(c.alias(k) for k, c in bounds.items())).filter("a < b")
 
 
-def near_boundaries(turns: DataFrame, collar: float = 0.25, step: float = STEP) -> DataFrame:
-    """The frames within the collar of a turn's start or end."""
+def _near(turns: DataFrame, collar: float, step: float) -> DataFrame:
+    """(session_id, a, b) of the collars around each turn's start and end."""
     reach = round(collar / step)
-    edges = turns.select("session_id", F.explode(F.array("start", "end")).alias("t")).select("session_id", F.rint(F.col("t") / step).cast("int").alias("e"))
-    return edges.select("session_id", F.explode(F.sequence(F.col("e") - reach, F.col("e") + reach)).alias("frame")).distinct()
+    edges = turns.select("session_id", F.explode(F.array("start", "end")).alias("t")).select("session_id", F.rint(F.col("t") / step).cast("long").alias("e"))
+    return edges.select("session_id", (F.col("e") - reach).alias("a"), (F.col("e") + reach + 1).alias("b")).distinct()
+
+
+def pieces(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, step: float = STEP) -> DataFrame:
+    """(session_id, ref, hyp, n): pieces outside of the collar with their speakers and length in steps; null is silence.
+
+    Where turns of one side overlap the one of the largest run_id counts.  One sweep over the bounds of a session, in
+    which each side keeps the open turns as a map of run_id, as long as turns overlap.
+    """
+
+    def marks(rows: DataFrame, side: int, speaker: Column, run: Column) -> DataFrame:
+        ends = F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("open")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("open")))).alias("m")
+        return rows.select("session_id", F.lit(side).alias("side"), speaker.cast("long").alias("speaker"), run.cast("long").alias("run"), ends).select("session_id", "side", "speaker", "run", "m.at", "m.open")
+
+    both = marks(_steps(reference, step), 0, F.col("speaker"), F.col("run_id")).unionByName(marks(_steps(hypothesis, step), 1, F.col("speaker"), F.col("run_id")))
+    both = both.unionByName(marks(_near(reference, collar, step), 2, F.lit(0), F.lit(0)))
+    schema = "session_id long, ref long, hyp long, n long"
+    ship(reference.sparkSession)
+
+    def sweep(batches):
+        session, at, turns, depth = None, 0, ({}, {}), 0
+        for batch in batches:
+            out = []
+            for s, side, speaker, run, t, opens in zip(*(batch[c].tolist() for c in ("session_id", "side", "speaker", "run", "at", "open")), strict=True):
+                if s != session:
+                    session, at, turns, depth = s, t, ({}, {}), 0
+                if t > at:
+                    now = [max(x.items())[1] if x else None for x in turns]
+                    if not depth and now != [None, None]:
+                        out.append((s, *now, t - at))
+                    at = t
+                if side == 2:
+                    depth += opens
+                elif opens > 0:
+                    turns[side][run] = speaker
+                else:
+                    turns[side].pop(run, None)
+            done = pd.DataFrame(out, columns=["session_id", "ref", "hyp", "n"]).astype({"session_id": "int64", "ref": "Int64", "hyp": "Int64", "n": "int64"})
+            yield done.groupby(["session_id", "ref", "hyp"], dropna=False, as_index=False).sum()
+
+    ordered = both.repartition("session_id").sortWithinPartitions("session_id", "at", "open", "side", "run")
+    return ordered.mapInPandas(sweep, schema)
 
 
-def scored_frames(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
-    """(session_id, frame, ref, hyp) outside of the collar; null is silence."""
-    both = grid(reference, "ref").join(grid(hypothesis, "hyp"), ["session_id", "frame"], "full_outer")
-    return both.join(near_boundaries(reference, collar), ["session_id", "frame"], "left_anti")
+def contingency(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
+    """Steps by session, reference and guessed speaker."""
+    return pieces(reference, hypothesis, collar).groupBy("session_id", "ref", "hyp").agg(F.sum("n").alias("n"))
 
 
-def contingency(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
-    """Frames by session, reference and guessed speaker."""
-    return scored_frames(reference, hypothesis, collar).groupBy("session_id", "ref", "hyp").agg(F.count("*").alias("n"))
+def best_mapping(counts: DataFrame) -> DataFrame:
+    """(session_id, ref, hyp, n): the one-to-one mapping of speakers on which reference and guess agree most, pairs that never agree left out.
+
+    Any number of speakers on either side; a session's table is as large as its speakers are many.
+    """
+    ship(counts.sparkSession)
 
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot(index="ref", columns="hyp", values="n").fillna(0).sort_index().sort_index(axis=1)
+        n = table.to_numpy(float)
+        pairs = [(r, h) for r, h in assignment(-n) if n[r, h] > 0]
+        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "ref": [table.index[r] for r, _ in pairs], "hyp": [table.columns[h] for _, h in pairs], "n": [int(n[r, h]) for r, h in pairs]}).astype("int64")
 
-def best_agreement(counts: DataFrame, speakers: int) -> DataFrame:
-    """The most frames on which reference and guess agree under a one-to-one mapping of speakers 0 .. speakers - 1."""
-    cell = {(r, h): F.sum(F.when((F.col("ref") == r) & (F.col("hyp") == h), F.col("n")).otherwise(0)) for r in range(speakers) for h in range(speakers)}
-    table = counts.groupBy("session_id").agg(*(c.alias(f"c{r}_{h}") for (r, h), c in cell.items()))
-    sums = [sum((F.col(f"c{r}_{h}") for r, h in enumerate(p)), F.lit(0)) for p in permutations(range(speakers))]
-    return table.select("session_id", (F.greatest(*sums) if len(sums) > 1 else sums[0]).alias("agreed"))
+    spoken = counts.filter("ref IS NOT NULL AND hyp IS NOT NULL").select("session_id", "ref", "hyp", "n")
+    return spoken.groupBy("session_id").applyInPandas(solve, "session_id long, ref long, hyp long, n long")
 
 
-def error_rate(reference: DataFrame, hypothesis: DataFrame, speakers: int = 2, collar: float = 0.25) -> DataFrame:
+def error_rate(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
     """Seconds correct, confused, missed and falsely alarmed of each session, and the error rate."""
     counts = contingency(reference, hypothesis, collar)
     total: dict[str, Column] = {
@@ -52,7 +101,8 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, speakers: int = 2, c
         "missed": F.sum(F.when(F.col("hyp").isNull(), F.col("n")).otherwise(0)),
         "false_alarm": F.sum(F.when(F.col("ref").isNull(), F.col("n")).otherwise(0)),
     }
-    sums = counts.groupBy("session_id").agg(*(c.alias(k) for k, c in total.items())).join(best_agreement(counts, speakers), "session_id")
+    agreed = best_mapping(counts).groupBy("session_id").agg(F.sum("n").alias("agreed"))
+    sums = counts.groupBy("session_id").agg(*(c.alias(k) for k, c in total.items())).join(agreed, "session_id", "left").fillna(0, ["agreed"])
     speech = F.col("both") + F.col("missed")
     wrong = F.col("both") - F.col("agreed") + F.col("missed") + F.col("false_alarm")
     seconds = lambda c: F.bround(c * STEP, 2)

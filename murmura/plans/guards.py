@@ -149,7 +149,7 @@ SELECT doc_id, CASE WHEN x + l + e = 0 THEN NULL WHEN x > 0 AND x >= e THEN 'ext
 SELECT doc_id, round_even(CASE WHEN n_tokens = 0 THEN 1e0 ELSE n_unique / n_tokens END, 6) AS unique_ratio, top AS top_trigram, {_DEGENERATE} AS degenerate FROM tops JOIN run USING (doc_id)""",
     "context_echo": rf"""
 WITH p AS (SELECT doc_id, text, coalesce(right(lag(text) OVER (PARTITION BY lang ORDER BY doc_id), 1200), '') AS context FROM documents),
-d AS (SELECT doc_id, substr(text, 1, 300) AS text, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 300) ELSE context END AS context FROM p),
+d AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN text ELSE context END AS context FROM p),
 t AS (SELECT doc_id, list_transform({_tok('text')}, lambda x: replace(lower(x), 'ß', 'ss')) AS t, list_transform({_tok('context')}, lambda x: replace(lower(x), 'ß', 'ss')) AS c FROM d),
 g AS (SELECT doc_id, len(t) AS nt, len(c) AS nc, list_transform(range(1, greatest(1, len(t) - 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS own,
              list_transform(range(1, greatest(1, len(c) - 1)), lambda i: c[i] || ' ' || c[i + 1] || ' ' || c[i + 2]) AS given FROM t),

@@ -157,7 +157,7 @@ FROM spoken GROUP BY session_id"""),
     "recording_epochs": src.with_sql("chunks", """WITH e AS (
   SELECT *, (1 + sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY start, chunk_id ROWS UNBOUNDED PRECEDING))::INT AS epoch FROM chunks)
 SELECT session_id, epoch, count(*) AS n_chunks, min(chunk_id) AS first_chunk, round_even(max("end") - min(start), 3) AS seconds FROM e GROUP BY session_id, epoch"""),
-    "repeat_guard": src.with_sql("chunks", """WITH c AS (SELECT session_id, chunk_id, start, substr(text, 1, 40) AS text FROM chunks WHERE trim(substr(text, 1, 40)) <> ''),
+    "repeat_guard": src.with_sql("chunks", """WITH c AS (SELECT session_id, chunk_id, start, text FROM chunks WHERE trim(text) <> ''),
 r AS (SELECT *, coalesce(length(text) > 25 AND text = lag(text) OVER (PARTITION BY session_id ORDER BY start, chunk_id), false) AS repeated FROM c)
 SELECT session_id, count(*) AS n, sum(repeated::INT)::BIGINT AS n_repeated FROM r GROUP BY session_id"""),
     "rolling_context": src.with_sql("chunks", """WITH c AS (SELECT *, lag(text, 1) OVER w AS p1, lag(text, 2) OVER w AS p2 FROM chunks WHERE trim(text) <> '' WINDOW w AS (PARTITION BY session_id ORDER BY start, chunk_id))

@@ -263,6 +263,39 @@ def test_error_rate(spark):
     assert (r.confusion, r.missed, r.false_alarm) == (1.74, 0.75, 1.0) and r.error_rate == pytest.approx(3.49 / 6.98, abs=1e-6)
 
 
+def brute_error(ref, hyp, collar=25):
+    """Frames of 10 ms in dictionaries, all one-to-one mappings."""
+    grid = lambda turns: {f: s for _, a, b, s in sorted(turns) for f in range(round(a * 100), round(b * 100))}
+    r, h = grid(ref), grid(hyp)
+    near = {f for _, a, b, _ in ref for e in (round(a * 100), round(b * 100)) for f in range(e - collar, e + collar + 1)}
+    frames = [(r.get(f), h.get(f)) for f in (r.keys() | h.keys()) - near]
+    rs, hs = sorted({x for x, _ in frames if x is not None}), sorted({y for _, y in frames if y is not None})
+    n = Counter(frames)
+    rs += [-1] * max(0, len(hs) - len(rs))
+    agreed = max((sum(n[x, y] for x, y in zip(p, hs, strict=False)) for p in permutations(rs, len(hs))), default=0)
+    both, missed = sum(v for (x, y), v in n.items() if None not in (x, y)), sum(v for (x, y), v in n.items() if y is None)
+    return tuple(round(v / 100, 2) for v in (agreed, both - agreed, missed, sum(v for (x, _), v in n.items() if x is None)))
+
+
+def test_error_rate_any_number_of_speakers(spark):
+    """1 to 7 speakers on either side, more of them guessed than there are and the other way round, with overlaps."""
+    rng = np.random.default_rng(4)
+    refs, hyps, want = [], [], {}
+    for s in range(14):
+        k, m = 1 + s % 7, 1 + (s * 3) % 7
+        make = lambda n: [(i, round(float(t), 2), round(float(t + d), 2), int(rng.integers(n) * 5)) for i, (t, d) in enumerate(zip(np.cumsum(rng.uniform(0.5, 3, 25)), rng.uniform(0.3, 4, 25), strict=True))]
+        r, h = make(k), make(m)
+        refs, hyps = refs + [(s, *t) for t in r], hyps + [(s, *t) for t in h]
+        want[s] = brute_error(r, h)
+    turns = "session_id long, run_id long, start double, end double, speaker int"
+    got = scoring.error_rate(spark.createDataFrame(refs, turns).repartition(3), spark.createDataFrame(hyps, turns))
+    assert {r.session_id: tuple(r)[1:5] for r in got.collect()} == want
+    none = spark.createDataFrame([], turns)
+    assert scoring.error_rate(none, none).count() == 0
+    silent = scoring.error_rate(spark.createDataFrame(refs, turns), none).collect()
+    assert all(r.correct == 0 and r.error_rate == 1 for r in silent if r.missed)
+
+
 # --- streaming ------------------------------------------------------------------------
 
 
