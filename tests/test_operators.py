@@ -21,7 +21,7 @@ from murmura.functions.assign import assignment, linkage_cuts
 from murmura.operators import clustering, discovery, intervals, scoring, signal, telemetry, tenancy, transcript
 from murmura.plans import guards, transcripts
 from murmura.sources import annotations
-from murmura.streaming import segmenter, stitching
+from murmura.streaming import registry, segmenter, stitching
 
 SINHALA, TAMIL, THAANA = "[ක-ෆඅ-ඖ]", "[அ-ஹ]", "[ހ-ޥ]"
 
@@ -501,3 +501,73 @@ def test_gate(spark):
     assert got["silence"].verdict == "quiet" and got["chord"].verdict == "music" and got["voice"].music < got["chord"].music
     short = signal.measure(b"\0\1" * 100, 16000)
     assert not short["confident"] and signal.measure(None, 16000)["rms"] == 0.0
+
+
+# --- the registry of a live session -----------------------------------------------------
+
+
+def voices(seed, n, dim=64):
+    rng = np.random.default_rng(seed)
+    common = rng.normal(size=dim) / 8
+    return [v / np.linalg.norm(v) for v in 0.45 * common + rng.normal(size=(n, dim)) / 8]
+
+
+def talk(spark, turns, seed=0, per_pass=3, jitter=0.5):
+    """Windows of 2 s, one every 2 s, of the voice that each turn names."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i, v in enumerate(turns):
+        x = v + jitter * rng.normal(size=len(v)) / np.sqrt(len(v))
+        rows.append((1, i // per_pass, i, 2.0 * i, 2.0 * i + 2.0, (x / np.linalg.norm(x)).tolist()))
+    return spark.createDataFrame(rows, "session_id long, pass long, window_id long, start double, end double, embedding array<double>")
+
+
+def last(df):
+    return max(df.collect(), key=lambda r: r["pass"])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_registry_counts_speakers(spark, n):
+    v = voices(n, n)
+    got = sorted(registry.passes(talk(spark, [v[(i // 3) % n] for i in range(60)])).collect(), key=lambda r: r["pass"])
+    assert got[-1].speakers == n and got[-1].action == "derive" and got[-1].established
+    assert [r.action for r in got][1] in ("derive", "keep") and {"adapt"} <= {r.action for r in got}
+    fixed = [r for r in got if r.established]
+    assert all(set(a.voices) <= set(b.voices) or b.action in ("rederive", "derive") for a, b in zip(fixed, fixed[1:], strict=False))
+
+
+def test_registry_forced_number(spark):
+    v = voices(7, 3)
+    for k in (1, 2, 3, 5):
+        r = last(registry.passes(talk(spark, [v[(i // 4) % 3] for i in range(48)]), registry.Rules(expected=k)))
+        assert r.speakers == k
+    few = registry.passes(talk(spark, v[:2]), registry.Rules(expected=5))
+    assert last(few).speakers == 2
+
+
+def test_registry_new_voice_and_watchdog(spark):
+    """A third voice after the registry stands: admitted as it comes, known under a key of its own, the old keys stay."""
+    v = voices(9, 3)
+    turns = [v[(i // 3) % 2] for i in range(30)] + [v[2]] * 12 + [v[i % 3] for i in range(12)]
+    got = sorted(registry.passes(talk(spark, turns)).collect(), key=lambda r: r["pass"])
+    before = next(r for r in got if r["pass"] == 9)
+    assert before.speakers == 2 and got[-1].speakers == 3 and set(before.voices) < set(got[-1].voices)
+    assert "rederive" in {r.action for r in got} and sum(r.action == "rederive" for r in got) <= 2
+
+
+def test_registry_rules():
+    s = registry.Session(registry.Rules(expected=3))
+    assert s.forced(10, False) == 0 and s.forced(10, True) == 3 and s.forced(2, True) == 2
+    s.seconds = 8.0
+    assert s.forced(10, False) == 3
+    x = np.eye(4)
+    assert len(registry.exactly(x[:1], x, np.ones(4), np.zeros(4, int), 3)) == 3
+    kept = registry.exactly(x[:3], x, np.array([1.0, 5, 2, 2]), np.array([0, 1, 2, 2]), 2)
+    assert kept.tolist() == x[[1, 2]].tolist()
+    assert registry.judge(np.zeros((2, 2)), x[:2], np.ones(2), np.zeros(2, int), 1) == (0.0, 1.0)
+    s = registry.Session(registry.Rules(cap=8))
+    for k in range(10):
+        s.add(np.random.default_rng(k).normal(size=(5, 4)), np.arange(5) * 2.0 + 10 * k, np.arange(5) * 2.0 + 10 * k + 2)
+    assert len(s.x) <= 8 and np.diff(s.start).std() < 1e-9 and s.seconds == 100
+    s.add(np.ones((1, 4)), np.array([3.0]), np.array([5.0]))
+    assert s.seconds == 100  # a window from before isn't taken
