@@ -32,9 +32,9 @@ def email_collisions(users: DataFrame) -> DataFrame:
 
 def with_plan(organizations: DataFrame, plans: DataFrame, default: str = "starter") -> DataFrame:
     """Organisations with their plan's limits; an unknown plan counts as the default one."""
-    known = organizations.join(F.broadcast(plans.select("plan")), "plan", "left_semi").select("organization_id").withColumn("known", F.lit(True))
+    known = organizations.join(plans.select("plan"), "plan", "left_semi").select("organization_id").withColumn("known", F.lit(True))
     named = organizations.join(known, "organization_id", "left").withColumn("plan", F.when(F.col("known"), F.col("plan")).otherwise(default)).drop("known")
-    return named.join(F.broadcast(plans), "plan", "left")
+    return named.join(plans, "plan", "left")
 
 
 def admissions(requests: DataFrame, organizations: DataFrame, platform_max: int) -> DataFrame:

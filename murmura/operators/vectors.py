@@ -1,16 +1,20 @@
 """Vector operators: distances, centroids, calibration, separation, votes.
 
 Windows have session_id, window_id, start, end and embedding (an array of doubles).  Pairwise
-work stays inside a session and only distances leave the joins.
+work stays inside a session, in blocks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.session import ship
+
 
 @dataclass(frozen=True)
 class Band:
@@ -43,20 +47,48 @@ def distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b)
 
 
-def pair_distances(windows: DataFrame) -> DataFrame:
-    """(session_id, a, b, distance) of all ordered pairs of a session's windows."""
-    unit = normalised(windows.select("session_id", "window_id", "embedding"))
-    a = unit.select("session_id", F.col("window_id").alias("a"), F.col("embedding").alias("va"))
-    b = unit.select("session_id", F.col("window_id").alias("b"), F.col("embedding").alias("vb"))
-    half = a.join(b, "session_id").filter("a < b").select("session_id", "a", "b", distance(F.col("va"), F.col("vb")).alias("distance"))
-    return half.unionByName(half.select("session_id", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+def nearest_neighbours(windows: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """(session_id, a, b, distance): the ``k`` nearest other windows of each window of its session, the smaller window_id on a tie.
+
+    A session is cut into blocks; each pair of blocks is one task's matrix product, of which only the ``k`` nearest of each
+    window leave the task.  So rows grow with windows times blocks, not with pairs, and no task holds a session.
+    """
+    ship(windows.sparkSession)
+    sizes = windows.groupBy("session_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_g"))
+    rows = windows.select("session_id", "window_id", F.col("embedding").cast("array<double>").alias("embedding")).join(sizes, "session_id")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("window_id"), F.col("_g")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    rows = rows.select("session_id", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), F.col("_own").alias("own"), "window_id", "embedding")
+
+    def solve(group: pa.Table) -> pa.Table:
+        ids, own = group.column("window_id").to_numpy(), group.column("own").to_numpy()
+        v = np.array(group.column("embedding").to_pylist(), float)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        v = np.where(size > 1e-9, v / np.maximum(size, 1e-300), v)
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        sides = [(own == x, own == y)] if x == y else [(own == x, own == y), (own == y, own == x)]
+        out = []
+        for left, right in sides:
+            if not left.any() or not right.any():
+                continue
+            d = 1 - v[left] @ v[right].T
+            d[ids[left][:, None] == ids[right][None, :]] = np.inf
+            order = np.argsort(ids[right], kind="stable")
+            near = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+            best = np.take_along_axis(d, near, 1)
+            i, j = np.nonzero(np.isfinite(best))
+            out.append((ids[left][i], ids[right][near[i, j]], best[i, j]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        session = pa.array([group.column("session_id")[0].as_py()] * len(columns[0]), pa.int64())
+        return pa.table([session, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], names=["session_id", "a", "b", "distance"])
+
+    found = rows.groupBy("session_id", "x", "y").applyInArrow(solve, "session_id long, a long, b long, distance double")
+    w = Window.partitionBy("session_id", "a").orderBy("distance", "b")
+    return found.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def knn_spread(windows: DataFrame, k: int = 5) -> DataFrame:
     """Each window's mean distance to its ``k`` nearest neighbours."""
-    w = Window.partitionBy("session_id", "a").orderBy("distance", "b")
-    near = pair_distances(windows).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return near.groupBy("session_id", F.col("a").alias("window_id")).agg(F.avg("distance").alias("spread"))
+    return nearest_neighbours(windows, k).groupBy("session_id", F.col("a").alias("window_id")).agg(F.avg("distance").alias("spread"))
 
 
 def calibration(windows: DataFrame, band: Band = Band()) -> DataFrame:

@@ -18,7 +18,9 @@ def change_points(spark, sf_dir):
 
 
 def cluster_speakers(spark, sf_dir):
-    return clustering.cluster_windows(src.windows(spark, sf_dir))
+    """All windows, however many: those that weren't sampled get the nearest centroid's speaker."""
+    found = clustering.speakers(src.windows(spark, sf_dir))
+    return found.select("session_id", "window_id", "cluster", F.bround("best", 6).alias("best"), F.bround("margin", 6).alias("margin"))
 
 
 def speaker_timeline(spark, sf_dir):
@@ -49,7 +51,7 @@ def new_voices(spark, sf_dir):
 
 
 def speaker_registry(spark, sf_dir):
-    """The passes of live sessions, eight windows each; what is expected differs by nothing, so the sound decides."""
+    """The passes of live sessions, eight windows each; the sound decides how many speakers there are."""
     rows = src.windows(spark, sf_dir).withColumn("pass", F.floor(F.col("start") / 6.0))
     found = registry.passes(rows)
     return found.select("session_id", "pass", "action", "established", "speakers", "voices", F.bround("silhouette", 6).alias("silhouette"), F.bround("closest", 6).alias("closest"), "near_miss")

@@ -53,9 +53,12 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("session_id", F.col("chunk_id").alias("run_id"), "start", "end", F.coalesce("role_speaker", F.lit(0)).alias("speaker"))
 
 
-def windows(spark: SparkSession, sf_dir: str, sessions: int = 10) -> DataFrame:
-    """Embeddings as overlapping windows of ``sessions`` sessions: 2 s each, one every 0.75 s."""
-    session = (F.col("vec_id") % sessions).alias("session_id")
+def windows(spark: SparkSession, sf_dir: str, length: int = 50) -> DataFrame:
+    """Embeddings as overlapping windows of sessions of ``length`` windows: 2 s each, one every 0.75 s.
+
+    So the number of sessions grows with the table, and their length doesn't.
+    """
+    session = F.floor(F.col("vec_id") / length).alias("session_id")
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy("vec_id")) - 1
     df = read(spark, sf_dir, "embeddings").select("vec_id", session, F.col("embedding").cast("array<double>").alias("embedding"), "label")
     df = df.withColumn("start", rank * 0.75)
@@ -100,7 +103,7 @@ truth AS (SELECT session_id, chunk_id AS run_id, start, "end", coalesce(role_spe
     "windows": """
 windows AS (
   SELECT session_id, window_id, start, start + 2e0 AS "end", embedding, label FROM (
-    SELECT vec_id % 10 AS session_id, vec_id AS window_id, (row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) - 1) * 0.75e0 AS start,
+    SELECT vec_id // 50 AS session_id, vec_id AS window_id, (row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) - 1) * 0.75e0 AS start,
            embedding::DOUBLE[] AS embedding, label FROM embeddings)
 )""",
     "flags": """

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from murmura.functions import service as S
 from murmura.functions import text as T
 from murmura.functions.assign import assignment, linkage_cuts
-from murmura.operators import clustering, discovery, intervals, scoring, signal, telemetry, tenancy, transcript
+from murmura.operators import clustering, discovery, intervals, scoring, signal, telemetry, tenancy, transcript, vectors
 from murmura.plans import guards, transcripts
 from murmura.sources import annotations
 from murmura.streaming import registry, segmenter, stitching
@@ -571,3 +571,32 @@ def test_registry_rules():
     assert len(s.x) <= 8 and np.diff(s.start).std() < 1e-9 and s.seconds == 100
     s.add(np.ones((1, 4)), np.array([3.0]), np.array([5.0]))
     assert s.seconds == 100  # a window from before isn't taken
+
+
+# --- neighbours in blocks ---------------------------------------------------------------
+
+
+def test_neighbours_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 6))
+    x[5] = x[6]
+    rows = [(i % 2, i, v.tolist()) for i, v in enumerate(x)] + [(7, 500, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "session_id long, window_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    want = {(i, j) for i in range(90) for j in sorted((k for k in range(90) if k != i and k % 2 == i % 2), key=lambda k: (d[i, k], k))[:5]}
+    for block in (1000, 8):
+        got = vectors.nearest_neighbours(df, 5, block).collect()
+        assert {(r.a, r.b) for r in got} == want and all(abs(r.distance - d[r.a, r.b]) < 1e-9 for r in got)
+
+
+def test_speakers_label_every_window(spark):
+    """More windows than are sampled: all get a speaker, the right one."""
+    v = voices(3, 2)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(1800):
+        x = v[(i // 10) % 2] + 0.5 * rng.normal(size=64) / 8
+        rows.append((1, i, 0.75 * i, 0.75 * i + 2, (x / np.linalg.norm(x)).tolist()))
+    got = clustering.speakers(spark.createDataFrame(rows, "session_id long, window_id long, start double, end double, embedding array<double>")).collect()
+    assert len(got) == 1800 and all(r.cluster == (r.window_id // 10) % 2 for r in got)
