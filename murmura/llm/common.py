@@ -36,10 +36,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it names none (as in tests) a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; only in one process, as in tests, a temporary one where it names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="murmura-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="murmura-checkpoint-"))
     return context.getCheckpointDir()
 
 
