@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from murmura.functions import service as S
 from murmura.functions import text as T
 from murmura.functions.assign import assignment, linkage_cuts
-from murmura.operators import clustering, discovery, intervals, scoring, signal, telemetry, tenancy, transcript, vectors
+from murmura.operators import clustering, discovery, intervals, records, scoring, signal, telemetry, tenancy, transcript, vectors
 from murmura.plans import guards, transcripts
 from murmura.sources import annotations
 from murmura.streaming import registry, segmenter, stitching
@@ -600,3 +600,9 @@ def test_speakers_label_every_window(spark):
         rows.append((1, i, 0.75 * i, 0.75 * i + 2, (x / np.linalg.norm(x)).tolist()))
     got = clustering.speakers(spark.createDataFrame(rows, "session_id long, window_id long, start double, end double, embedding array<double>")).collect()
     assert len(got) == 1800 and all(r.cluster == (r.window_id // 10) % 2 for r in got)
+
+
+def test_write_json(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "x")], "run_id int, error string")
+    records.write_json(rows, str(tmp_path / "runs"))
+    assert sorted(line for f in (tmp_path / "runs").glob("part-*") for line in f.read_text().splitlines()) == ['{"run_id":1,"error":null}', '{"run_id":2,"error":"x"}']
