@@ -506,7 +506,7 @@ def test_gate(spark):
 # --- the registry of a live session -----------------------------------------------------
 
 
-def voices(seed, n, dim=64):
+def made_up_voices(seed, n, dim=64):
     rng = np.random.default_rng(seed)
     common = rng.normal(size=dim) / 8
     return [v / np.linalg.norm(v) for v in 0.45 * common + rng.normal(size=(n, dim)) / 8]
@@ -528,7 +528,7 @@ def last(df):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
 def test_registry_counts_speakers(spark, n):
-    v = voices(n, n)
+    v = made_up_voices(n, n)
     got = sorted(registry.passes(talk(spark, [v[(i // 3) % n] for i in range(60)])).collect(), key=lambda r: r["pass"])
     assert got[-1].speakers == n and got[-1].action == "derive" and got[-1].established
     assert [r.action for r in got][1] in ("derive", "keep") and {"adapt"} <= {r.action for r in got}
@@ -537,7 +537,7 @@ def test_registry_counts_speakers(spark, n):
 
 
 def test_registry_forced_number(spark):
-    v = voices(7, 3)
+    v = made_up_voices(7, 3)
     for k in (1, 2, 3, 5):
         r = last(registry.passes(talk(spark, [v[(i // 4) % 3] for i in range(48)]), registry.Rules(expected=k)))
         assert r.speakers == k
@@ -547,7 +547,7 @@ def test_registry_forced_number(spark):
 
 def test_registry_new_voice_and_watchdog(spark):
     """A third voice after the registry stands: admitted as it comes, known under a key of its own, the old keys stay."""
-    v = voices(9, 3)
+    v = made_up_voices(9, 3)
     turns = [v[(i // 3) % 2] for i in range(30)] + [v[2]] * 12 + [v[i % 3] for i in range(12)]
     got = sorted(registry.passes(talk(spark, turns)).collect(), key=lambda r: r["pass"])
     before = next(r for r in got if r["pass"] == 9)
@@ -592,7 +592,7 @@ def test_neighbours_in_blocks(spark):
 
 def test_speakers_label_every_window(spark):
     """More windows than are sampled: all get a speaker, the right one."""
-    v = voices(3, 2)
+    v = made_up_voices(3, 2)
     rng = np.random.default_rng(2)
     rows = []
     for i in range(1800):
