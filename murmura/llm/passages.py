@@ -41,6 +41,9 @@ from murmura.llm.common import cut, mix, slices, small_batches, table, text_view
 MOST = 4000
 #: Bytes of contexts that a task refines at once.
 AT_ONCE = 1 << 20
+#: Bytes that stand for a word where runs are counted in words: a run in which one word differs counts
+#: as equal with a probability of 2**-32.
+CODE = 4
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -135,8 +138,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "k2": F.xxhash64("text")})
 
 
-def _anchor_rows(docs: DataFrame, rule: Repeat, contexts: bool) -> DataFrame:
-    """gram of each anchor; with ``contexts`` its key, place and context digest (c1, c2) as well."""
+def _anchor_rows(texts: DataFrame, rule: Repeat, contexts: bool) -> DataFrame:
+    """gram of each anchor of the keyed texts; with ``contexts`` its key, place and context digest (c1, c2) as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +160,8 @@ def _anchor_rows(docs: DataFrame, rule: Repeat, contexts: bool) -> DataFrame:
                 )
 
     if not contexts:
-        return docs.select("text").mapInArrow(run, "gram long")
-    return _keyed(docs.select("doc_id", "text")).select("k1", "k2", "text").mapInArrow(run, "gram long, k1 long, k2 long, pos int, lo int, hi int, c1 long, c2 long")
+        return texts.select("text").mapInArrow(run, "gram long")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "gram long, k1 long, k2 long, pos int, lo int, hi int, c1 long, c2 long")
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, rule: Repeat) -> DataFrame:
@@ -243,11 +246,11 @@ def _counted(contexts: DataFrame, rule: Repeat) -> DataFrame:
     return windows.filter("copies = 1").join(often, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + rule.length).alias("end"))
 
 
-def spans(docs: DataFrame, texts: DataFrame, rule: Repeat) -> DataFrame:
-    """(k1, k2, spans): what is to go from each text that loses something, as unsorted spans."""
+def spans(texts: DataFrame, rule: Repeat) -> DataFrame:
+    """(k1, k2, spans): what is to go from each of the keyed texts that loses something, as unsorted spans."""
     # Aggregates are written before they are joined: a join of two plain exchanges can split a bucket with very many rows.
-    often = cut(_anchor_rows(docs, rule, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    found = cut(_anchor_rows(docs, rule, True).join(often, "gram"))
+    often = cut(_anchor_rows(texts, rule, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    found = cut(_anchor_rows(texts, rule, True).join(often, "gram"))
     context = ["gram", "before", "wide", "c1", "c2"]
     found = found.withColumns({"before": F.col("pos") - F.col("lo"), "wide": F.col("hi") - F.col("lo")})
     classes = cut(found.groupBy(*context).agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")))
@@ -260,8 +263,8 @@ def spans(docs: DataFrame, texts: DataFrame, rule: Repeat) -> DataFrame:
     return both.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def _word_codes(docs: DataFrame) -> DataFrame:
-    """(t1, t2, doc_id, text): the key of each row's text, and 8 bytes of hash for each of its words instead of the text."""
+def _word_codes(texts: DataFrame) -> DataFrame:
+    """The keyed texts with ``CODE`` bytes of hash for each word instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,31 +273,27 @@ def _word_codes(docs: DataFrame) -> DataFrame:
             for i, j in slices(starts, ends):
                 part, base = data[starts[i] : ends[j - 1]], starts[i]
                 begin, end, row = word_bounds(part, starts[i:j] - base, ends[i:j] - base)
-                raw, at = word_hashes(part, begin, end).tobytes(), 8 * np.searchsorted(row, np.arange(j - i + 1))
+                raw, at = word_hashes(part, begin, end).astype(np.uint32).tobytes(), CODE * np.searchsorted(row, np.arange(j - i + 1))
                 codes += [raw[b:e] for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("k1"), pa.array(codes, pa.binary())], names=["t1", "t2", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(codes, pa.binary())], names=["k1", "k2", "text"])
 
-    return _keyed(docs.select("doc_id", "text")).select("k1", "k2", "text").mapInArrow(run, "t1 long, t2 long, doc_id long, text binary")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, text binary")
 
 
-def word_runs(docs: DataFrame, words: int) -> DataFrame:
-    """(k1, k2, runs): the runs of at least ``words`` words that stand in more than one place, as unsorted spans of word codes.
+def word_runs(texts: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, runs): the runs of at least ``words`` words of the keyed texts that stand in more than one place, as unsorted spans of word codes.
 
     A string of ``words`` codes repeats where and only where the words do, whatever stands between them.
+    The codes are made anew wherever they are read: that costs less than room for them on disk.
     """
-    rule = Repeat(length=8 * words, gram=2 * words)
-    coded = cut(_word_codes(docs))
-    keys = _keyed(coded)
-    found = spans(coded.select("doc_id", "text"), keys.select("doc_id", "text", "k1", "k2"), rule)
-    keys = keys.select("t1", "t2", "k1", "k2").distinct()
-    return keys.join(found, ["k1", "k2"]).select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.col("spans").alias("runs"))
+    return spans(_word_codes(texts), Repeat(length=CODE * words, gram=words)).withColumnRenamed("spans", "runs")
 
 
 def _word_cuts(raw: bytes, runs: list[dict]) -> list[tuple[int, int]]:
     """The bytes from the first word's start to the last word's end of each run of word codes."""
     data = np.frombuffer(raw, np.uint8)
     begin, end, _ = word_bounds(data, np.zeros(1, np.int64), np.array([len(data)]))
-    whole = [(-(-r["start"] // 8), r["end"] // 8) for r in runs]
+    whole = [(-(-r["start"] // CODE), r["end"] // CODE) for r in runs]
     return [(int(begin[b]), int(end[e - 1])) for b, e in whole if e > b]
 
 
@@ -321,10 +320,11 @@ def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]
         yield raw[s:e], _merged(begin[a : a + n], end[a : a + n]) if n else []
 
 
-def _with_spans(docs: DataFrame, columns: list[str], rule: Repeat) -> DataFrame:
+def _with_spans(docs: DataFrame, columns: list[str], rule: Repeat, words: int | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = _keyed(docs.select(*columns))
-    return texts.join(spans(docs, texts, rule), ["k1", "k2"], "left")
+    joined = texts.join(spans(texts, rule), ["k1", "k2"], "left")
+    return joined.join(word_runs(texts, words), ["k1", "k2"], "left") if words else joined
 
 
 def repeats(docs: DataFrame, rule: Repeat = Repeat()) -> DataFrame:
@@ -362,10 +362,7 @@ def drop_repeats(docs: DataFrame, rule: Repeat = Repeat(), words: int | None = N
     bytes they have.  A column ``n_chars`` is set to the new length.
     """
     columns = docs.columns
-    joined = _with_spans(docs, columns, rule)
-    if words:
-        joined = joined.join(word_runs(docs, words), ["k1", "k2"], "left")
-    joined = joined.select(*columns, "spans", *(["runs"] if words else []))
+    joined = _with_spans(docs, columns, rule, words).select(*columns, "spans", *(["runs"] if words else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
