@@ -29,7 +29,9 @@ def squeeze(text: Column) -> Column:
 
 
 def letters(text: Column, script: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(script))
+    """How many characters are of a class: what is missing once its runs are cut out, without an array of matches."""
+    text = F.coalesce(text, F.lit(""))
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"(?:{script})+", ""))
 
 
 def script_profile(text: Column, allowed: str = BASE) -> tuple[Column, Column]:
@@ -79,12 +81,12 @@ def longest_run(toks: Column) -> Column:
     """The longest run of one token; a token of punctuation only never extends a run."""
     start = F.struct(F.lit(0).alias("best"), F.lit(0).alias("run"), F.lit("").alias("last"))
 
-    def step(acc: Column, t: Column) -> Column:
-        key = run_key(t)
+    def step(acc: Column, key: Column) -> Column:
         run = F.when((key != "") & (key == acc["last"]), acc["run"] + 1).when(key != "", 1).otherwise(0)
         return F.struct(F.greatest(acc["best"], run).alias("best"), run.alias("run"), key.alias("last"))
 
-    return F.aggregate(toks, start, step, lambda acc: acc["best"])
+    # Keys are an array of their own: a lambda computes what it names as often as it names it.
+    return F.aggregate(F.transform(toks, run_key), start, step, lambda acc: acc["best"])
 
 
 def ngrams(toks: Column, n: int = 3) -> Column:
@@ -106,7 +108,7 @@ def most_frequent(items: Column) -> Column:
         run = F.when(t.eqNullSafe(acc["last"]), acc["run"] + 1).otherwise(1)
         return F.struct(F.greatest(acc["best"], run).alias("best"), run.alias("run"), t.alias("last"))
 
-    return F.aggregate(F.array_sort(items), start, step, lambda acc: acc["best"])
+    return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["best"])
 
 
 def unique_ratio(toks: Column) -> Column:
