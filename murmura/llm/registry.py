@@ -3,6 +3,7 @@
 from murmura.llm.chat import OP3_SQL, op3_chat_format
 from murmura.llm.decontaminate import op9_decontamination
 from murmura.llm.html_text import op4_html_text
+from murmura.llm.infill import OP11_SQL, op11_fill_in_middle
 from murmura.llm.licenses import op5_license_scan
 from murmura.llm.near_dedup import OP1_SQL, op1_near_dedup
 from murmura.llm.passages import op8_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_decontamination,
         op10_sharding,
+        op11_fill_in_middle,
     )
 }
-SQL = {"op1_near_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_url_filter": OP7_SQL}
+SQL = {"op1_near_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_url_filter": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
