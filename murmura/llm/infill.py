@@ -29,7 +29,8 @@ from murmura.llm.common import table
 
 #: Most units in one run.
 RUN = 1024
-CODE_POINT = r"[\s\S]"
+#: Patterns of units are read with the flag (?s).
+CODE_POINT = "."
 # The marks of the output.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 
@@ -47,8 +48,8 @@ def runs(docs: DataFrame, unit: str = CODE_POINT) -> DataFrame:
     """
     one = CODE_POINT if unit == CODE_POINT else f"(?:{unit}|{CODE_POINT})"
     # Possessive, so that a run is matched in one loop and never given back.
-    matches = F.regexp_extract_all("text", F.lit(f"{one}{{1,{RUN}}}+"), 0)
-    units = F.length("run") if unit == CODE_POINT else F.regexp_count("run", F.lit(one))
+    matches = F.regexp_extract_all("text", F.lit(f"(?s){one}{{1,{RUN}}}+"), 0)
+    units = F.length("run") if unit == CODE_POINT else F.regexp_count("run", F.lit(f"(?s){one}"))
     size = F.struct("doc_id", units.cast("long").alias("units"), F.length("run").cast("long").alias("length"))
     # Repeated rows have equal runs.  One column for all that follows, so that both readers of these rows share one exchange.
     rows = docs.select("key", "doc_id", F.posexplode(matches).alias("at", "run")).groupBy("key", "at").agg(F.first(size).alias("size"))
@@ -82,7 +83,7 @@ def cut_at(text: Column, place: Column, unit: str = CODE_POINT) -> Column:
     if unit == CODE_POINT:
         inside = F.least(place["skip"], place["run_length"])
     else:
-        inside = F.length(F.regexp_substr(run, F.concat(F.lit(rf"\A(?:{unit}|{CODE_POINT}){{"), place["skip"].cast("string"), F.lit("}+"))))
+        inside = F.length(F.regexp_substr(run, F.concat(F.lit(rf"(?s)\A(?:{unit}|{CODE_POINT}){{"), place["skip"].cast("string"), F.lit("}+"))))
     return F.when(place.isNull() | (place["skip"] == 0), F.coalesce(place["run_offset"], F.lit(0))).otherwise(place["run_offset"] + inside)
 
 
