@@ -5,6 +5,7 @@ from murmura.llm.decontaminate import op9_decontamination
 from murmura.llm.html_text import op4_html_text
 from murmura.llm.infill import OP11_SQL, op11_fill_in_middle
 from murmura.llm.licenses import op5_license_scan
+from murmura.llm.mixing import OP12_SQL, op12_mixing
 from murmura.llm.near_dedup import OP1_SQL, op1_near_dedup
 from murmura.llm.passages import op8_suffix_dedup
 from murmura.llm.pieces import op2_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
         op9_decontamination,
         op10_sharding,
         op11_fill_in_middle,
+        op12_mixing,
     )
 }
-SQL = {"op1_near_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_url_filter": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
+SQL = {"op1_near_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_url_filter": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op12_mixing": OP12_SQL}
