@@ -7,8 +7,9 @@ Copies.  Each document of a source is to be taken m times on average: the source
 ``worth``, in proportion to it and ``most`` times at most.  floor(m) copies are certain; the rest of m is the document's inclusion
 probability p in one sample of its source.  That sample is drawn by Pareto order: documents are ranked by the odds of a random number,
 u / (1 - u), over the odds of inclusion, p / (1 - p), and taken in that order until the sample has its size, in words.
-Documents that are large against the sample (over 1 / ``FINE`` of it) are ranked and taken first, the others then fill what is missing,
-so the sample misses its size by half a small document at most, if the source has enough of them.
+Documents that are large against the sample (over 1 / ``FINE`` of it) are ranked and taken first, the others then fill what is missing;
+at the end one document, of the size nearest to what is still lacking, is taken in or left out.  So the sample misses its size by a part of a
+small document, if the source has enough of them.
 
 Scale.  Texts are counted in the scan; what is shuffled is a few numbers a document.  Ranks are made in ``BUCKETS`` buckets of a source's
 random numbers, with the buckets' sums before them, so a source that holds most rows is spread over tasks.  Repeated rows are
@@ -119,6 +120,17 @@ def fill(ranks: DataFrame, goals: DataFrame) -> DataFrame:
     return ranks.join(sums, ["stratum", "bucket"]).withColumn("once", middle.cast(WIDE) * PARTS <= 2 * F.col("goal")).drop("before", "goal")
 
 
+def last_one(drawn: DataFrame) -> DataFrame:
+    """``drawn`` rows with one document of a source, of the size nearest to what its sample still lacks (or has too much), taken in (or left out)."""
+    drawn = cut(drawn)
+    size = F.col("size").cast(WIDE) * PARTS
+    lacks = drawn.groupBy(F.col("source").alias("its")).agg(F.sum(F.col("p").cast(WIDE) * F.col("size") - F.when(F.col("once"), size).otherwise(0)).cast(WIDE).alias("lacks"))
+    useful = (F.col("once") == (F.col("lacks") < 0)) & (size < 2 * F.abs("lacks")) & (F.col("size") > 0)
+    off = F.abs(size - F.abs("lacks"))
+    chosen = drawn.join(lacks, F.expr("source <=> its")).filter(useful).groupBy("its").agg(F.min_by("order", F.struct(off.alias("off"), "order")).alias("chosen"))
+    return drawn.join(chosen, F.expr("source <=> its AND order = chosen"), "left").withColumn("once", F.col("once") != F.col("chosen").isNotNull()).drop("its", "chosen")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, worth: str | None = None, seed: int = 1) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words) of each row of ``docs``."""
     rows = cut(measured(docs, worth))
@@ -147,7 +159,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     off = large.groupBy(F.col("source").alias("its")).agg(F.sum(F.when(F.col("once"), F.col("size")).otherwise(0).cast(WIDE) * PARTS - F.col("p").cast(WIDE) * F.col("size")).cast(WIDE).alias("off"))
     rest = asked.filter("NOT stratum.large").join(off, F.expr("stratum.source <=> its"), "left").select("stratum", (F.col("goal") - F.coalesce("off", F.lit(0))).cast(WIDE).alias("goal"))
     small = fill(open_.filter("NOT stratum.large"), rest)
-    out = settled.unionByName(large.select(*kept, "once")).unionByName(small.select(*kept, "once"))
+    out = settled.unionByName(last_one(large.unionByName(small)).select(*kept, "once"))
     copies = (F.col("certain") + F.col("once").cast("long")).alias("copies")
     return out.select(*kept[:-1], copies, (copies * F.col("size")).alias("taken"))
 
@@ -185,8 +197,13 @@ WITH d AS (
   SELECT source, sum(CASE WHEN once THEN size ELSE 0 END)::HUGEINT * 1000000000 - any_value(goal) AS off FROM l GROUP BY source
 ), b AS (
   SELECT a.*, (2 * upto - size)::HUGEINT * 1000000000 <= 2 * (goal - coalesce(off, 0)) AS once FROM a LEFT JOIN off ON a.source IS NOT DISTINCT FROM off.source WHERE NOT large
+), z AS (
+  SELECT *, sum(p::HUGEINT * size - CASE WHEN once THEN size ELSE 0 END::HUGEINT * 1000000000) OVER (PARTITION BY source) AS lacks FROM (SELECT * FROM l UNION ALL BY NAME SELECT * FROM b)
+), y AS (
+  SELECT *, once = (lacks < 0) AND size::HUGEINT * 1000000000 < 2 * abs(lacks) AND size > 0 AS useful FROM z
+), v AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY NOT useful, abs(size::HUGEINT * 1000000000 - abs(lacks)), (u / (1 - u)) / (q / (1 - q)), doc_id NULLS FIRST, copy) = 1 AND useful AS chosen FROM y
 )
 SELECT doc_id, size, source_size, target, (certain * size)::BIGINT AS taken FROM k WHERE p = 0
-UNION ALL SELECT doc_id, size, source_size, target, ((certain + once::INT) * size)::BIGINT FROM l
-UNION ALL SELECT doc_id, size, source_size, target, ((certain + once::INT) * size)::BIGINT FROM b
+UNION ALL SELECT doc_id, size, source_size, target, ((certain + (once <> chosen)::INT) * size)::BIGINT FROM v
 """
