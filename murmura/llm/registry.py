@@ -8,6 +8,7 @@ from murmura.llm.licenses import op5_license_scan
 from murmura.llm.mixing import OP12_SQL, op12_mixing
 from murmura.llm.near_dedup import OP1_SQL, op1_near_dedup
 from murmura.llm.passages import op8_suffix_dedup
+from murmura.llm.phrases import OP13_SQL, op13_phrases
 from murmura.llm.pieces import op2_sentencepiece
 from murmura.llm.quality import op6_quality_rules
 from murmura.llm.shards import op10_sharding
@@ -28,6 +29,7 @@ QUERIES = {
         op10_sharding,
         op11_fill_in_middle,
         op12_mixing,
+        op13_phrases,
     )
 }
-SQL = {"op1_near_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_url_filter": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op12_mixing": OP12_SQL}
+SQL = {"op1_near_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_url_filter": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op12_mixing": OP12_SQL, "op13_phrases": OP13_SQL}
