@@ -79,7 +79,8 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float
     """(source, source_size, target) from ``measured`` rows."""
     sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     sources = ranked(sources).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int")))
-    parts = sources.withColumns({"pool": F.lit(0), "cap": F.col("source_size") * float(most)})
+    # Written, so that the pool is a column to join on and not a literal, which would make a cross join.
+    parts = cut(sources.withColumns({"pool": F.lit(0), "cap": F.col("source_size") * float(most)}))
     whole = parts.groupBy("pool").agg(F.sum("source_size").cast("double").alias("total"))
     found = shared_out(parts, "pool", "weight", "cap", whole)
     return found.select("source", "source_size", F.least(F.col("cap"), F.col("rate") * F.col("weight")).alias("target"))
