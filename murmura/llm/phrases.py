@@ -7,9 +7,9 @@ rows are routed by pivot.  There the n-grams that hold the pivot are counted, an
 pivot, so counts are complete where they are mined and infrequent n-grams end there.
 
 "Rarest" is judged by a table of ``SLOTS`` numbers, the counts of the frequent words hashed into them (a fixed size, whatever the vocabulary);
-ties go by hash.  Any fixed order of words gives the same counts, this one keeps the partitions even.  A pivot with over ``HOT``
+ties go by hash.  Any fixed order of words gives the same counts, this one keeps the partitions even.  A pivot with over ``hot``
 occurrences is split by the word next to it: n-grams that go on behind the pivot go by the next word, those that end with it by the word
-before.  A partition that still exceeds ``MOST`` bytes is mined in parts, and all of its partial counts are added up.
+before.  A partition that still exceeds ``most`` bytes is mined in parts, and all of its partial counts are added up.
 
 Frequent n-grams (at most tokens / threshold) are scored as DataFrames: every cut of a phrase is joined to the counts of its two parts, in
 exact decimals; phrases inside an equally frequent longer one go.  It is enough to look at phrases one word longer, since a count never
@@ -35,11 +35,6 @@ from murmura.llm.common import LOWER, cut, mix, table, text_view, word_bounds, w
 from murmura.session import ship
 
 SLOTS = 1 << 20
-#: Occurrences from which a pivot is split by neighbours.
-HOT = 1 << 18
-#: Bytes of text in a block, and of fragments that are mined at once.
-BLOCK = 4 << 20
-MOST = 16 << 20
 
 PIECE_ENDS = np.zeros(256, bool)
 PIECE_ENDS[[ord(c) for c in ".,;:!?\n\x0b\f\r"]] = True
@@ -49,7 +44,11 @@ ENDS[[9, 32]] = True
 
 @dataclass(frozen=True)
 class Mining:
-    """At least ``least`` occurrences, phrases of ``shortest`` to ``longest`` words; a phrase inside a longer one with ``percent`` of its count goes."""
+    """At least ``least`` occurrences, phrases of ``shortest`` to ``longest`` words; a phrase inside a longer one with ``percent`` of its count goes.
+
+    ``hot``: occurrences from which a pivot is split by neighbours; ``block`` and ``most``: bytes of text that are rewritten and bytes of fragments that
+    are mined at once.  These three change no result.
+    """
 
     least: int = 100
     shortest: int = 2
@@ -57,6 +56,9 @@ class Mining:
     percent: int = 100
     scale: int = 1000
     top: int = 2000
+    hot: int = 1 << 18
+    block: int = 4 << 20
+    most: int = 16 << 20
 
 
 @dataclass
@@ -71,8 +73,8 @@ class Words:
     joined: np.ndarray
 
 
-def blocks(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[list[str], Words]]:
-    """The words of some rows in blocks of about ``BLOCK`` bytes, with the names of their languages; a long row is sliced where pieces end."""
+def blocks(langs: pa.Array, texts: pa.Array, block: int) -> Iterator[tuple[list[str], Words]]:
+    """The words of some rows in blocks of about ``block`` bytes, with the names of their languages; a long row is sliced where pieces end."""
     names = langs.fill_null("und").dictionary_encode()
     which, known = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
     salt = np.array([hash_of(n) for n in known], np.uint64)
@@ -80,20 +82,20 @@ def blocks(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[list[str], Words]
     data = LOWER[data]
     s, e, r = [], [], []
     for row, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        while b - a > BLOCK:
-            stop = np.flatnonzero(PIECE_ENDS[data[a : a + BLOCK]])
+        while b - a > block:
+            stop = np.flatnonzero(PIECE_ENDS[data[a : a + block]])
             if not len(stop):
                 stop = np.flatnonzero(PIECE_ENDS[data[a:b]])
             if not len(stop):
                 break
-            after = a + int(stop[-1] if stop[-1] < BLOCK else stop[0]) + 1
+            after = a + int(stop[-1] if stop[-1] < block else stop[0]) + 1
             s.append(a), e.append(after), r.append(row)
             a = after
         s.append(a), e.append(b), r.append(row)
     s, e, r = np.array(s, np.int64), np.array(e, np.int64), np.array(r, np.int64)
     i = 0
     while i < len(s):
-        j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK, "right")))
+        j = max(i + 1, int(np.searchsorted(e, s[i] + block, "right")))
         part = data[s[i] : e[j - 1]]
         begin, end, row = word_bounds(part, s[i:j] - s[i], e[i:j] - s[i], ENDS)
         lang = which[r[i + row]]
@@ -124,12 +126,12 @@ def strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.array([bytes(data[b:e]).decode("utf-8") for b, e in zip(begin.tolist(), end.tolist(), strict=True)], pa.string())
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, block: int = Mining.block) -> DataFrame:
     """(lang, word, n) of all texts, counted in blocks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for known, w in blocks(batch.column(0), batch.column(1)):
+            for known, w in blocks(batch.column(0), batch.column(1), block):
                 _, first, n = np.unique(w.code, return_index=True, return_counts=True)
                 lang = pa.array([known[k] for k in w.lang[first].tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([lang, strings(w.data, w.begin[first], w.end[first]), pa.array(n, pa.int64())], names=["lang", "word", "n"])
@@ -154,7 +156,7 @@ def slot_table(frequent: DataFrame) -> np.ndarray:
     return counts
 
 
-def fragments(w: Words, counts: np.ndarray, reach: int) -> dict[str, np.ndarray]:
+def fragments(w: Words, counts: np.ndarray, reach: int, hot: int) -> dict[str, np.ndarray]:
     """The pivots of a block with how many words before (``left``) and behind (``right``) belong to them, where they go (``key``) and whether they are split."""
     often = counts[(w.code % np.uint64(SLOTS)).astype(np.int64)]
     # The order of words: by count, then by hash; 0 is no frequent word.
@@ -172,8 +174,8 @@ def fragments(w: Words, counts: np.ndarray, reach: int) -> dict[str, np.ndarray]
         right[: n - d] += on
     at = np.flatnonzero(left + right > 0)
     left, right, code = left[at], right[at], w.code[at]
-    split = often[at] > HOT
-    ways = np.maximum(1, often[at] // HOT).astype(np.uint64)
+    split = often[at] > hot
+    ways = np.maximum(1, often[at] // hot).astype(np.uint64)
     forward, backward = ~split | (right > 0), split & (left > 0)
     after = np.where(split, mix(w.code[np.minimum(at + 1, n - 1)]) % ways + np.uint64(1), np.uint64(0))
     before = mix(w.code[np.maximum(at - 1, 0)] ^ np.uint64(1)) % ways + np.uint64(1)
@@ -259,8 +261,8 @@ def frequent_phrases(docs: DataFrame, counts: np.ndarray, rules: Mining) -> Data
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for known, w in blocks(batch.column(0), batch.column(1)):
-                yield packed(known, w, fragments(w, shared.value, rules.longest))
+            for known, w in blocks(batch.column(0), batch.column(1), rules.block):
+                yield packed(known, w, fragments(w, shared.value, rules.longest, rules.hot))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -268,10 +270,10 @@ def frequent_phrases(docs: DataFrame, counts: np.ndarray, rules: Mining) -> Data
         columns = lambda rows: ([r[3] for r in rows], [r[4] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[-1][0] and (partial or size >= MOST // 4):
+                if held and row[0] != held[-1][0] and (partial or size >= rules.most // 4):
                     yield mined(*columns(held), rules, not partial)
                     held, size, partial = [], 0, False
-                elif size >= MOST:
+                elif size >= rules.most:
                     # One key (and what small ones came before it) is too much to hold: those before are whole, its own counts are partial.
                     before = [r for r in held if r[0] != row[0]]
                     if before:
@@ -315,7 +317,7 @@ def collocations(docs: DataFrame, rules: Mining = Mining()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: each language's first ``top`` phrases."""
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = word_counts(docs)
+    words = word_counts(docs, rules.block)
     # The frequent words, and one row a language for all others together.
     words = cut(words.groupBy("lang", F.when(F.col("n") >= rules.least, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
