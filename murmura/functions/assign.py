@@ -39,12 +39,20 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[c]) - 1, c - 1) for c in range(1, m + 1) if owner[c])
 
 
-def linkage_cuts(distances: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Labels of average-linkage clusterings into 1 .. ``most`` clusters, numbered by first member."""
+def gated(cost: np.ndarray, gate: float) -> dict[int, int]:
+    """As many one-to-one pairs (row to column) of at most ``gate`` as there can be, and of these pairings the cheapest."""
+    if cost.size == 0:
+        return {}
+    beyond = 1.0 + gate * min(cost.shape)
+    return {r: c for r, c in assignment(np.where(cost <= gate, cost, beyond)) if cost[r, c] <= gate}
+
+
+def linkage_cuts(distances: np.ndarray, most: int, members: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """Labels of average-linkage clusterings into 1 .. ``most`` clusters, numbered by first member; ``members`` a point stands for, 1 each by default."""
     n = len(distances)
     d = distances.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
+    size, label = np.ones(n) if members is None else members.astype(float), np.arange(n)
     out = {}
     for left in range(n, 0, -1):
         if left <= most:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from murmura.functions import service as S
 from murmura.functions import text as T
-from murmura.functions.assign import assignment, linkage_cuts
+from murmura.functions import voices as V
+from murmura.functions.assign import assignment, gated, linkage_cuts
 from murmura.operators import clustering, discovery, intervals, records, scoring, signal, telemetry, tenancy, transcript, vectors
 from murmura.plans import guards, transcripts
 from murmura.sources import annotations
@@ -555,22 +556,121 @@ def test_registry_new_voice_and_watchdog(spark):
     assert "rederive" in {r.action for r in got} and sum(r.action == "rederive" for r in got) <= 2
 
 
-def test_registry_rules():
-    s = registry.Session(registry.Rules(expected=3))
-    assert s.forced(10, False) == 0 and s.forced(10, True) == 3 and s.forced(2, True) == 2
-    s.seconds = 8.0
-    assert s.forced(10, False) == 3
+def test_registry_asks_and_fills():
+    t = registry.Talk(registry.Rules(expected=3))
+    assert t.asked(10, False) == 0 and t.asked(10, True) == 3 and t.asked(2, True) == 2
+    t.figures.heard = 8.0
+    assert t.asked(10, False) == 3
     x = np.eye(4)
-    assert len(registry.exactly(x[:1], x, np.ones(4), np.zeros(4, int), 3)) == 3
-    kept = registry.exactly(x[:3], x, np.array([1.0, 5, 2, 2]), np.array([0, 1, 2, 2]), 2)
-    assert kept.tolist() == x[[1, 2]].tolist()
-    assert registry.judge(np.zeros((2, 2)), x[:2], np.ones(2), np.zeros(2, int), 1) == (0.0, 1.0)
-    s = registry.Session(registry.Rules(cap=8))
+    assert len(t.filled(x, x[:1], 3)) == 3 and len(t.filled(x[:1], x[:1], 3)) == 1
+
+
+def test_registry_drops_small_clusters_and_remaps():
+    """What a dropped cluster held goes to the nearest one that is left, and moves it."""
+    t = registry.Talk(registry.Rules(most=2))
+    x = np.vstack([np.tile(np.eye(4)[0], (6, 1)), np.tile(np.eye(4)[1], (5, 1)), V.unit(np.array([[0.1, 1.0, 0, 0.6]]))])
+    t.sums, t.seconds, t.windows, t.first = x * 2.0, np.full(12, 2.0), np.ones(12, int), np.arange(12) * 2.0
+    kept = t.survivors(x, np.vstack([np.eye(4)[:2], x[-1:]]))
+    want = V.unit(np.vstack([x[:6].sum(0), x[6:].sum(0)]))
+    assert np.allclose(kept, want)
+    t.rules = registry.Rules(most=1)
+    assert np.allclose(t.survivors(x, np.eye(4)[:2]), V.unit(x.sum(0, keepdims=True)))
+
+
+def test_registry_remembers_groups_only():
+    t = registry.Talk(registry.Rules(groups=8))
+    rng = np.random.default_rng(0)
     for k in range(10):
-        s.add(np.random.default_rng(k).normal(size=(5, 4)), np.arange(5) * 2.0 + 10 * k, np.arange(5) * 2.0 + 10 * k + 2)
-    assert len(s.x) <= 8 and np.diff(s.start).std() < 1e-9 and s.seconds == 100
-    s.add(np.ones((1, 4)), np.array([3.0]), np.array([5.0]))
-    assert s.seconds == 100  # a window from before isn't taken
+        t.hear(rng.normal(size=(5, 4)), np.arange(5) * 2.0 + 10 * k, np.arange(5) * 2.0 + 10 * k + 2)
+    assert len(t.sums) <= 8 and t.windows.sum() == 50 and t.seconds.sum() == pytest.approx(100) and t.figures.heard == pytest.approx(100)
+    t.hear(np.ones((1, 4)), np.array([3.0]), np.array([5.0]))
+    assert t.figures.heard == pytest.approx(100)  # a window from before isn't taken
+    t.hear(np.ones((1, 4)), np.array([200.0]), np.array([200.5]))
+    assert t.figures.heard == pytest.approx(100) and t.figures.latest == 200.0  # one that is too short isn't, either
+
+
+def test_clusters_against_pairs():
+    """Silhouette and separation from sums equal those from all pairs."""
+    rng = np.random.default_rng(4)
+    x, w, label = V.unit(rng.normal(size=(40, 5))), rng.uniform(0.5, 3, 40), rng.integers(0, 3, 40)
+    d, total = 1 - x @ x.T, 0.0
+    for i in range(40):
+        mean = [np.average(d[i, m], weights=w[m]) for m in ((label == c) & (np.arange(40) != i) for c in range(3))]
+        own, other = mean[label[i]], min(v for c, v in enumerate(mean) if c != label[i])
+        total += w[i] * (other - own) / max(own, other)
+    sums = V.Clusters.of(x, w, label, 3)
+    assert sums.silhouette(x, w, label) == pytest.approx(total / w.sum())
+    c = [V.unit((x[label == k] * w[label == k, None]).sum(0)) for k in range(3)]
+    assert sums.closest == pytest.approx(min(1 - c[a] @ c[b] for a in range(3) for b in range(a)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 4), st.integers(0, 4))
+def test_gated_pairs(seed, n, m):
+    """As many pairs as possible, then the cheapest, against all pairings."""
+    cost = np.random.default_rng(seed).uniform(0, 1, (n, m))
+    got = gated(cost, 0.5)
+    options = [()]
+    for r in range(n):
+        options += [o + ((r, c),) for o in options for c in range(m) if cost[r, c] <= 0.5 and c not in {x[1] for x in o}]
+    best = min(options, key=lambda o: (-len(o), sum(cost[r, c] for r, c in o)))
+    assert len(got) == len(best) and sum(cost[r, c] for r, c in got.items()) == pytest.approx(sum(cost[r, c] for r, c in best))
+
+
+SESSION_ROWS = "session_id long, pass long, window_id long, start double, end double, embedding array<double>"
+
+
+def test_registry_as_stream(spark, tmp_path):
+    """Micro-batches that cut passes in two, a restart from the checkpoint between them: the rows of the batch."""
+    v = made_up_voices(9, 3)
+    turns = [v[(i // 3) % 2] for i in range(30)] + [v[2]] * 12 + [v[i % 3] for i in range(12)]
+    one = talk(spark, turns).toPandas()
+    two = talk(spark, [v[(i // 3) % 3] for i in range(40)], seed=5).toPandas().assign(session_id=2)
+    rows = pd.concat([one, two], ignore_index=True)
+    want = sorted(map(repr, registry.passes(spark.createDataFrame(rows)).collect()))
+    rows["part"] = (rows["start"] // 28).astype(int)
+    end = pd.DataFrame([(s, None, None, None, None, None) for s in (1, 2)], columns=list(rows.columns[:6]))
+    last_part = int(rows["part"].max())
+    registry.use_rocksdb(spark)
+
+    def run(parts):
+        for p in parts:
+            some = rows[rows["part"] == p].drop(columns="part")
+            spark.createDataFrame([tuple(r) for r in some.itertuples(index=False)] + ([tuple(r) for r in end.astype(object).where(end.notna(), None).itertuples(index=False)] if p == last_part else []), SESSION_ROWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            source = spark.readStream.schema(SESSION_ROWS).parquet(str(tmp_path / "in"))
+            query = registry.stream(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+            assert query.awaitTermination(180) and query.exception() is None
+
+    # Each run is a new query that goes on from the checkpoint.
+    run(range(last_part + 1))
+    got = sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).select(registry.COLUMNS).collect()))
+    assert got == want and last_part >= 3
+
+
+def test_registry_stream_ends_idle_sessions(spark, tmp_path):
+    v = made_up_voices(9, 2)
+    registry.use_rocksdb(spark)
+    df = talk(spark, [v[(i // 3) % 2] for i in range(30)])
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    want = sorted(map(repr, registry.passes(df).collect()))
+    source = spark.readStream.schema(SESSION_ROWS).parquet(str(tmp_path / "in"))
+    query = registry.stream(source, idle_seconds=1.0).writeStream.format("memory").queryName("idle_registry").outputMode("append").start()
+    try:
+        until = time.monotonic() + 90
+        while spark.table("idle_registry").count() < len(want) and time.monotonic() < until:
+            time.sleep(0.5)
+        assert sorted(map(repr, spark.table("idle_registry").collect())) == want
+    finally:
+        query.stop()
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 4])
+def test_registry_count_never_falls(spark, parts):
+    """Voices that come one after another are admitted, and none is lost by a live pass."""
+    v = made_up_voices(20 + parts, parts)
+    got = sorted(registry.passes(talk(spark, [x for x in v for _ in range(18)], per_pass=4)).collect(), key=lambda r: r["pass"])
+    live = [r.speakers for r in got[:-1] if r.established]
+    assert live == sorted(live) and got[-1].speakers == parts
 
 
 # --- neighbours in blocks ---------------------------------------------------------------
