@@ -2,8 +2,8 @@
 
 An n-gram's pivot is its rarest word (the first place of it, if it stands there twice).  Texts are rewritten for each pivot: a fragment is
 a pivot with at most four words on either side, cut where a word is rarer than the pivot or infrequent, so that it holds exactly the n-grams
-that the pivot owns.  Equal fragments of a block of text are counted once, all fragments of a block for one pivot travel as one row, and
-rows are routed by pivot.  There the n-grams that hold the pivot are counted, and nothing else; every occurrence of an n-gram has the same
+that the pivot owns.  Equal fragments of a block of text are counted once, what a task has for one pivot travels as one row, and rows are
+routed by pivot.  There the n-grams that hold the pivot are counted, and nothing else; every occurrence of an n-gram has the same
 pivot, so counts are complete where they are mined and infrequent n-grams end there.
 
 "Rarest" is judged by a table of ``SLOTS`` numbers, the counts of the frequent words hashed into them (a fixed size, whatever the vocabulary);
@@ -57,7 +57,7 @@ class Mining:
     scale: int = 1000
     top: int = 2000
     hot: int = 1 << 18
-    block: int = 4 << 20
+    block: int = 2 << 20
     most: int = 16 << 20
 
 
@@ -188,52 +188,86 @@ def fragments(w: Words, counts: np.ndarray, reach: int, hot: int) -> dict[str, n
     }
 
 
-def packed(known: list[str], w: Words, f: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row for each key: its distinct fragments, a line each, and for each a number: its count times 8, plus the words before the pivot."""
+def packed(known: list[str], w: Words, f: dict[str, np.ndarray]) -> Iterator[tuple[tuple[int, bool, str], bytes]]:
+    """For each key (with whether it is split, and the language) its distinct fragments, a line each.
+
+    A line is the number of words before the pivot, the count (nothing for 1, else digits of base 64 from ``@`` on, the lowest first), a space and the words.
+    """
     words = f["left"] + f["right"] + 1
     same = f["left"].astype(np.uint64)
     for d in range(int(words.max(initial=0))):
         inside = d < words
         same[inside] = mix(same[inside] * np.uint64(0x9E3779B97F4A7C15) + w.code[f["at"][inside] - f["left"][inside] + d])
     order = np.lexsort((same, f["split"], f["key"]))
+    if not len(order):
+        return
     key, split, same = f["key"][order], f["split"][order], same[order]
     new = np.ones(len(order), bool)
     new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1]) | (split[1:] != split[:-1])
     first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(order)))
     one = order[first]
-    key, split, words, start = key[first], split[first], words[one], (f["at"] - f["left"])[one]
-    upto = np.cumsum(words)
-    index = np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - (upto - words), words)
+    key, split, start, words = key[first], split[first], (f["at"] - f["left"])[one], words[one]
+    # The heads of lines stand behind the text as further words.
+    heads, head = np.unique(np.diff(np.append(first, len(order))) * 8 + f["left"][one], return_inverse=True)
+    spelled = [head_of(int(h) & 7, int(h) >> 3) for h in heads]
+    data = np.concatenate([w.data, np.frombuffer(b"".join(spelled), np.uint8)])
+    ends = len(w.data) + np.cumsum([len(x) for x in spelled])
+    begin, end = np.concatenate([w.begin, ends - [len(x) for x in spelled]]), np.concatenate([w.end, ends])
+    upto = np.cumsum(words + 1)
+    index = np.arange(upto[-1]) + np.repeat(start - 1 - (upto - words - 1), words + 1)
+    index[upto - words - 1] = len(w.begin) + head
     closing = np.full(len(index), 32, np.uint8)
     closing[upto - 1] = 10
-    data, ends = gather(w.data, w.begin[index], w.end[index], closing)
-    ends = ends[upto - 1] if len(upto) else ends
-    rows = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (split[1:] != split[:-1]))) if len(key) else np.zeros(0, np.int64)
-    last = np.append(rows[1:], len(key)) - 1 if len(rows) else rows
-    numbers = (n * 8 + f["left"][one]).astype("<i4")
-    binary = lambda raw, upto: pa.Array.from_buffers(pa.binary(), len(upto), [None, pa.py_buffer(np.concatenate([[0], upto]).astype(np.int32)), pa.py_buffer(raw)])
-    lang = pa.array([known[k] for k in w.lang[f["at"][one[rows]]].tolist()], pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[rows].view(np.int64)), lang, pa.array(split[rows]), binary(np.ascontiguousarray(data), ends[last]), binary(numbers, (last + 1) * 4)],
-        names=["key", "lang", "split", "lines", "numbers"],
-    )
-
-
-def mined(lines: list[bytes], numbers: list[bytes], langs: list[str], splits: list[bool], rules: Mining, whole: bool) -> pa.RecordBatch:
+    lines, stop = gather(data, begin[index], end[index], closing)
+    stop, lines = stop[upto - 1], lines.tobytes()
+    rows = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (split[1:] != split[:-1])))
+    last = np.append(rows[1:], len(key)) - 1
+    langs = w.lang[f["at"][one[rows]]].tolist()
+    for k, cut_, lang, b, e in zip(key[rows].view(np.int64).tolist(), split[rows].tolist(), langs, np.append(0, stop[last[:-1]]).tolist(), stop[last].tolist(), strict=True):
+        yield (k, cut_, known[lang]), lines[b:e]
+
+
+def head_of(left: int, count: int) -> bytes:
+    out = [48 + left]
+    while count > 1 or len(out) > 1 and count:
+        out.append(64 + count % 64)
+        count //= 64
+    return bytes(out)
+
+
+def rows_of(held: dict[tuple[int, bool, str], list[bytes]]) -> pa.RecordBatch:
+    """A row (key, body) for each key; a body begins with whether it is split, and the language behind its length."""
+    bodies = []
+    for (_, split, lang), lines in held.items():
+        name = lang.encode()
+        bodies.append(bytes([split]) + len(name).to_bytes(4, "little") + name + b"".join(lines))
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array(bodies, pa.binary())], names=["key", "body"])
+
+
+def read_row(body: bytes) -> tuple[bool, str, bytes]:
+    n = int.from_bytes(body[1:5], "little")
+    return body[0] == 1, body[5 : 5 + n].decode(), body[5 + n :]
+
+
+def mined(bodies: list[bytes], rules: Mining, whole: bool) -> pa.RecordBatch:
     """(lang, phrase, n): the n-grams of some rows that hold the pivot; of ``whole`` partitions the frequent ones only."""
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    number = np.frombuffer(b"".join(numbers), "<i4")
-    per_row = np.array([len(x) // 4 for x in numbers])
-    names = sorted(set(langs))
-    lang = np.repeat(np.array([names.index(x) for x in langs]), per_row)
-    split = np.repeat(np.array(splits), per_row)
+    splits, langs, texts = zip(*map(read_row, bodies), strict=True)
+    data = np.frombuffer(b"".join(texts), np.uint8)
     stop = np.flatnonzero((data == 32) | (data == 10))
     begin, end = np.concatenate([[0], stop[:-1] + 1]), stop
     line_end = np.flatnonzero(data[stop] == 10)
     first = np.concatenate([[0], line_end[:-1] + 1])
-    pivot = first + (number & 7)
-    left, right, count = pivot - first, line_end - pivot, (number >> 3).astype(np.int64)
+    row = np.searchsorted(np.cumsum([len(x) for x in texts]), begin[first], "right")
+    names = sorted(set(langs))
+    lang, split = np.array([names.index(x) for x in langs])[row], np.array(splits)[row]
+    left = data[begin[first]].astype(np.int64) - 48
+    digits = end[first] - begin[first] - 1
+    count = (digits == 0).astype(np.int64)
+    for d in range(int(digits.max())):
+        more = digits > d
+        count[more] += (data[begin[first[more]] + 1 + d].astype(np.int64) - 64) << (6 * d)
+    pivot = first + 1 + left
+    right = line_end - pivot
     parts = []
     for s in range(rules.longest):
         for e in range(rules.longest - s):
@@ -260,32 +294,44 @@ def frequent_phrases(docs: DataFrame, counts: np.ndarray, rules: Mining) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What the blocks of a task have for one pivot goes as one row, as far as memory allows.
+        held: dict[tuple[int, bool, str], list[bytes]] = {}
+        size = 0
         for batch in batches:
             for known, w in blocks(batch.column(0), batch.column(1), rules.block):
-                yield packed(known, w, fragments(w, shared.value, rules.longest, rules.hot))
+                for key, lines in packed(known, w, fragments(w, shared.value, rules.longest, rules.hot)):
+                    held.setdefault(key, []).append(lines)
+                    size += len(lines) + 100
+                if size > rules.most * 4:
+                    yield rows_of(held)
+                    held, size = {}, 0
+        if held:
+            yield rows_of(held)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[int, bytes]] = []
         size, partial = 0, False
-        columns = lambda rows: ([r[3] for r in rows], [r[4] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+        bodies = lambda rows: [r[1] for r in rows]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[0] != held[-1][0] and (partial or size >= rules.most // 4):
-                    yield mined(*columns(held), rules, not partial)
+                    yield mined(bodies(held), rules, not partial)
                     held, size, partial = [], 0, False
-                elif size >= rules.most:
+                elif held and size >= rules.most:
                     # One key (and what small ones came before it) is too much to hold: those before are whole, its own counts are partial.
                     before = [r for r in held if r[0] != row[0]]
                     if before:
-                        yield mined(*columns(before), rules, True)
-                    yield mined(*columns(held[len(before) :]), rules, False)
-                    held, size, partial = [], 0, True
+                        yield mined(bodies(before), rules, True)
+                    if len(before) < len(held):
+                        yield mined(bodies(held[len(before) :]), rules, False)
+                        partial = True
+                    held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[1])
         if held:
-            yield mined(*columns(held), rules, not partial)
+            yield mined(bodies(held), rules, not partial)
 
-    routed = docs.select("lang", "text").mapInArrow(rewrite, "key long, lang string, split boolean, lines binary, numbers binary")
+    routed = docs.select("lang", "text").mapInArrow(rewrite, "key long, body binary")
     found = routed.repartition("key").sortWithinPartitions("key").mapInArrow(mine, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= rules.least)
 
