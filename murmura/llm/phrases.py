@@ -2,18 +2,18 @@
 
 An n-gram's pivot is its rarest word (the first place of it, if it stands there twice).  Texts are rewritten for each pivot: a fragment is
 a pivot with at most four words on either side, cut where a word is rarer than the pivot or infrequent, so that it holds exactly the n-grams
-that the pivot owns.  Equal fragments of a block of text are counted once, what a task has for one pivot travels as one row, and rows are
-routed by pivot.  There the n-grams that hold the pivot are counted, and nothing else; every occurrence of an n-gram has the same
+that the pivot owns.  Equal fragments of a block of text are counted once, pivots are dealt into buckets by hash, and what a
+task has for one bucket travels there as one row.  There the n-grams that hold a fragment's pivot are counted, and nothing else; every occurrence of an n-gram has the same
 pivot, so counts are complete where they are mined and infrequent n-grams end there.
 
 "Rarest" is judged by a table of ``SLOTS`` numbers, the counts of the frequent words hashed into them (a fixed size, whatever the vocabulary);
-ties go by hash.  Any fixed order of words gives the same counts, this one keeps the partitions even.  A pivot with over ``hot``
+ties go by hash.  Any fixed order of words gives the same counts, this one keeps the buckets even.  A pivot with over ``hot``
 occurrences is split by the word next to it: n-grams that go on behind the pivot go by the next word, those that end with it by the word
-before.  A partition that still exceeds ``most`` bytes is mined in parts, and all of its partial counts are added up.
+before.  A bucket that exceeds ``most`` bytes is mined in parts, and all of its partial counts are added up.
 
 Frequent n-grams (at most tokens / threshold) are scored as DataFrames: every cut of a phrase is joined to the counts of its two parts, in
 exact decimals; phrases inside an equally frequent longer one go.  It is enough to look at phrases one word longer, since a count never
-grows with a longer phrase.  N-grams of a partition and fragments of a block are told apart by 64-bit hashes; two of them count as one
+grows with a longer phrase.  N-grams of a bucket and fragments of a block are told apart by 64-bit hashes; two of them count as one
 with a probability of 2**-64 a pair.
 
 Edge cases: a null text has no words, a null language is ``und``; phrases never cross the marks that end a piece; overlapping occurrences
@@ -47,7 +47,7 @@ class Mining:
     """At least ``least`` occurrences, phrases of ``shortest`` to ``longest`` words; a phrase inside a longer one with ``percent`` of its count goes.
 
     ``hot``: occurrences from which a pivot is split by neighbours; ``block`` and ``most``: bytes of text that are rewritten and bytes of fragments that
-    are mined at once.  These three change no result.
+    are mined at once; ``bucket``: words of the corpus to a bucket of pivots.  These four change no result.
     """
 
     least: int = 100
@@ -59,6 +59,7 @@ class Mining:
     hot: int = 1 << 18
     block: int = 2 << 20
     most: int = 16 << 20
+    bucket: int = 1 << 16
 
 
 @dataclass
@@ -188,8 +189,8 @@ def fragments(w: Words, counts: np.ndarray, reach: int, hot: int) -> dict[str, n
     }
 
 
-def packed(known: list[str], w: Words, f: dict[str, np.ndarray]) -> Iterator[tuple[tuple[int, bool, str], bytes]]:
-    """For each key (with whether it is split, and the language) its distinct fragments, a line each.
+def packed(known: list[str], w: Words, f: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[tuple[int, bool, str], bytes]]:
+    """For each bucket of keys (with whether they are split, and the language) its distinct fragments, a line each.
 
     A line is the number of words before the pivot, the count (nothing for 1, else digits of base 64 from ``@`` on, the lowest first), a space and the words.
     """
@@ -198,15 +199,18 @@ def packed(known: list[str], w: Words, f: dict[str, np.ndarray]) -> Iterator[tup
     for d in range(int(words.max(initial=0))):
         inside = d < words
         same[inside] = mix(same[inside] * np.uint64(0x9E3779B97F4A7C15) + w.code[f["at"][inside] - f["left"][inside] + d])
-    order = np.lexsort((same, f["split"], f["key"]))
-    if not len(order):
+    if not len(same):
         return
-    key, split, same = f["key"][order], f["split"][order], same[order]
+    same = mix(same ^ f["key"])
+    # Bucket, language and whether it is split as one number.
+    group = ((f["key"] % np.uint64(buckets)).astype(np.int64) * len(known) + w.lang[f["at"]]) * 2 + f["split"]
+    order = np.lexsort((same, group))
+    group, same = group[order], same[order]
     new = np.ones(len(order), bool)
-    new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1]) | (split[1:] != split[:-1])
+    new[1:] = (group[1:] != group[:-1]) | (same[1:] != same[:-1])
     first = np.flatnonzero(new)
     one = order[first]
-    key, split, start, words = key[first], split[first], (f["at"] - f["left"])[one], words[one]
+    group, start, words = group[first], (f["at"] - f["left"])[one], words[one]
     # The heads of lines stand behind the text as further words.
     heads, head = np.unique(np.diff(np.append(first, len(order))) * 8 + f["left"][one], return_inverse=True)
     spelled = [head_of(int(h) & 7, int(h) >> 3) for h in heads]
@@ -220,11 +224,10 @@ def packed(known: list[str], w: Words, f: dict[str, np.ndarray]) -> Iterator[tup
     closing[upto - 1] = 10
     lines, stop = gather(data, begin[index], end[index], closing)
     stop, lines = stop[upto - 1], lines.tobytes()
-    rows = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (split[1:] != split[:-1])))
-    last = np.append(rows[1:], len(key)) - 1
-    langs = w.lang[f["at"][one[rows]]].tolist()
-    for k, cut_, lang, b, e in zip(key[rows].view(np.int64).tolist(), split[rows].tolist(), langs, np.append(0, stop[last[:-1]]).tolist(), stop[last].tolist(), strict=True):
-        yield (k, cut_, known[lang]), lines[b:e]
+    rows = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    last = np.append(rows[1:], len(group)) - 1
+    for g, b, e in zip(group[rows].tolist(), np.append(0, stop[last[:-1]]).tolist(), stop[last].tolist(), strict=True):
+        yield (g // 2 // len(known), g % 2 == 1, known[g // 2 % len(known)]), lines[b:e]
 
 
 def head_of(left: int, count: int) -> bytes:
@@ -250,7 +253,7 @@ def read_row(body: bytes) -> tuple[bool, str, bytes]:
 
 
 def mined(bodies: list[bytes], rules: Mining, whole: bool) -> pa.RecordBatch:
-    """(lang, phrase, n): the n-grams of some rows that hold the pivot; of ``whole`` partitions the frequent ones only."""
+    """(lang, phrase, n): the n-grams of some rows that hold the pivot; of ``whole`` buckets the frequent ones only."""
     splits, langs, texts = zip(*map(read_row, bodies), strict=True)
     data = np.frombuffer(b"".join(texts), np.uint8)
     stop = np.flatnonzero((data == 32) | (data == 10))
@@ -289,17 +292,17 @@ def mined(bodies: list[bytes], rules: Mining, whole: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([names[k] for k in lang[which[one]].tolist()], pa.string()), strings(data, b[one], e[one]), pa.array(total, pa.int64())], names=["lang", "phrase", "n"])
 
 
-def frequent_phrases(docs: DataFrame, counts: np.ndarray, rules: Mining) -> DataFrame:
-    """(lang, phrase, n) of the frequent n-grams of ``docs`` (lang, text)."""
+def frequent_phrases(docs: DataFrame, counts: np.ndarray, buckets: int, rules: Mining) -> DataFrame:
+    """(lang, phrase, n) of the frequent n-grams of ``docs`` (lang, text); pivots are dealt into ``buckets``."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # What the blocks of a task have for one pivot goes as one row, as far as memory allows.
+        # What the blocks of a task have for one bucket goes as one row, as far as memory allows.
         held: dict[tuple[int, bool, str], list[bytes]] = {}
         size = 0
         for batch in batches:
             for known, w in blocks(batch.column(0), batch.column(1), rules.block):
-                for key, lines in packed(known, w, fragments(w, shared.value, rules.longest, rules.hot)):
+                for key, lines in packed(known, w, fragments(w, shared.value, rules.longest, rules.hot), buckets):
                     held.setdefault(key, []).append(lines)
                     size += len(lines) + 100
                 if size > rules.most * 4:
@@ -318,7 +321,7 @@ def frequent_phrases(docs: DataFrame, counts: np.ndarray, rules: Mining) -> Data
                     yield mined(bodies(held), rules, not partial)
                     held, size, partial = [], 0, False
                 elif held and size >= rules.most:
-                    # One key (and what small ones came before it) is too much to hold: those before are whole, its own counts are partial.
+                    # One bucket (and what small ones came before it) is too much to hold: those before are whole, its own counts are partial.
                     before = [r for r in held if r[0] != row[0]]
                     if before:
                         yield mined(bodies(before), rules, True)
@@ -368,7 +371,8 @@ def collocations(docs: DataFrame, rules: Mining = Mining()) -> DataFrame:
     words = cut(words.groupBy("lang", F.when(F.col("n") >= rules.least, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = words.filter("word IS NOT NULL")
-    phrases = cut(frequent_phrases(docs, slot_table(frequent), rules))
+    n = totals.agg(F.sum("total")).first()[0] or 0
+    phrases = cut(frequent_phrases(docs, slot_table(frequent), n // rules.bucket + 1, rules))
     out = scored(phrases, frequent, totals, rules)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # The best of each part of a language first, so that no task ranks all of it.

@@ -205,7 +205,7 @@ def talk():
     "rules",
     [
         phrases.Mining(least=3),
-        phrases.Mining(least=2, hot=4, block=64, most=256),
+        phrases.Mining(least=2, hot=4, block=64, most=256, bucket=50),
         phrases.Mining(least=3, hot=1 << 40, most=40),
         phrases.Mining(least=4, percent=80, top=7),
         phrases.Mining(least=2, shortest=3, longest=4),
