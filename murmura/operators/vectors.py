@@ -166,6 +166,30 @@ def distance_curve(windows: DataFrame, stride: int) -> DataFrame:
     return later.select("session_id", "window_id", "start", distance(F.col("embedding"), F.col("later")).alias("distance"))
 
 
+def strides(windows: DataFrame) -> DataFrame:
+    """(session_id, stride): how many windows on the next one is that doesn't overlap, by the medians of a session's window lengths and hops."""
+    w = Window.partitionBy("session_id").orderBy("start", "window_id")
+    hops = windows.select("session_id", (F.col("end") - F.col("start")).alias("length"), (F.col("start") - F.lag("start").over(w)).alias("hop"))
+    medians = hops.groupBy("session_id").agg(F.percentile("length", 0.5).alias("length"), F.percentile("hop", 0.5).alias("hop"))
+    stride = F.when(F.col("hop") > 1e-6, F.greatest(F.lit(1), F.ceil(F.col("length") / F.col("hop")))).otherwise(F.lit(1))
+    return medians.select("session_id", stride.cast("int").alias("stride"))
+
+
+def session_curve(windows: DataFrame, gap: float = 0.75) -> DataFrame:
+    """(session_id, window_id, at, distance): each window's distance to the next that doesn't overlap it, and the time between them.
+
+    The offset differs by session, so windows meet by rank and not by ``lead``.  Windows with a silence of over ``gap`` seconds between
+    them, or that overlap after all, say nothing.
+    """
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy("start", "window_id"))
+    ranked = normalised(windows.select("session_id", "window_id", "start", "end", "embedding")).withColumn("rank", rank)
+    a = ranked.join(strides(windows), "session_id").withColumn("rank", F.col("rank") + F.col("stride"))
+    b = ranked.select("session_id", "rank", F.col("start").alias("later"), F.col("embedding").alias("other"))
+    met = a.join(b, ["session_id", "rank"])
+    between = F.col("later") - F.col("end")
+    return met.filter((between >= -1e-6) & (between <= gap)).select("session_id", "window_id", ((F.col("end") + F.col("later")) / 2).alias("at"), distance(F.col("embedding"), F.col("other")).alias("distance"))
+
+
 def prune(sizes: DataFrame, least: float = 4.0, share: float = 0.02, windows: int = 3, cap: int = 8) -> DataFrame:
     """Of clusters (session_id, cluster, seconds, n) those large enough, at most ``cap``; the largest if none is."""
     whole = Window.partitionBy("session_id")

@@ -18,7 +18,7 @@ def change_points(spark, sf_dir):
 
 
 def cluster_speakers(spark, sf_dir):
-    """All windows, however many: those that weren't sampled get the nearest centroid's speaker."""
+    """All windows, however many: mixed ones demoted, clusters refined over all trusted windows, small ones remapped."""
     found = clustering.speakers(src.windows(spark, sf_dir))
     return found.select("session_id", "window_id", "cluster", F.bround("best", 6).alias("best"), F.bround("margin", 6).alias("margin"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmura.operators import intervals, vectors as op
+from murmura.operators import clustering, intervals, vectors as op
 from murmura.sources import adapters as src
 
 
@@ -49,6 +49,19 @@ def distance_curve(spark, sf_dir):
     return op.distance_curve(windows(spark, sf_dir), 3).select("session_id", "window_id", r6("distance"))
 
 
+def two_geometries(spark, sf_dir):
+    """Windows of 2 s in even sessions, of 1.4 s in odd ones: strides of 3 and 2."""
+    return windows(spark, sf_dir).withColumn("end", F.when(F.col("session_id") % 2 == 0, F.col("end")).otherwise(F.col("start") + 1.4))
+
+
+def session_curve(spark, sf_dir):
+    return op.session_curve(two_geometries(spark, sf_dir)).select("session_id", "window_id", r6("at"), r6("distance"))
+
+
+def turn_peaks(spark, sf_dir):
+    return clustering.turn_peaks(two_geometries(spark, sf_dir)).select("session_id", r6("at"), r6("distance"))
+
+
 def cluster_prune_cap(spark, sf_dir):
     sizes = windows(spark, sf_dir).groupBy("session_id", F.col("label").alias("cluster")).agg(F.sum(F.col("end") - F.col("start")).alias("seconds"), F.count("*").alias("n"))
     return op.prune(sizes, least=8.0, share=0.08, cap=4)
@@ -93,6 +106,16 @@ _VOTES = _NEAREST + """, fr AS (
          * greatest(0.25e0, least(1e0, margin / 0.15e0)) * CASE WHEN best > 0.75e0 THEN 0.3e0 ELSE 1e0 END), 9) AS votes FROM fr GROUP BY ALL
 ), win AS (SELECT session_id, frame::INT AS frame, arg_max(cluster, (votes, -cluster)) AS cluster, max(votes) AS votes FROM vo GROUP BY session_id, frame)"""
 
+_GEOMETRIES = """
+two AS (SELECT session_id, window_id, start, CASE WHEN session_id % 2 = 0 THEN "end" ELSE start + 1.4e0 END AS "end" FROM windows)"""
+_CURVE = _GEOMETRIES + """, hops AS (SELECT *, start - lag(start) OVER (PARTITION BY session_id ORDER BY start, window_id) AS hop FROM two),
+stride AS (SELECT session_id, CASE WHEN h > 1e-6 THEN greatest(1, ceil(l / h)) ELSE 1 END::INT AS k FROM (SELECT session_id, quantile_cont("end" - start, 0.5) AS l, quantile_cont(hop, 0.5) AS h FROM hops GROUP BY session_id)),
+rk AS (SELECT two.*, v, row_number() OVER (PARTITION BY session_id ORDER BY two.start, window_id) AS r FROM two JOIN (SELECT session_id, window_id, v FROM unit) USING (session_id, window_id)),
+curve AS (
+  SELECT a.session_id, a.window_id, (a."end" + b.start) / 2 AS curve_at, 1 - list_dot_product(a.v, b.v) AS distance
+  FROM rk a JOIN stride USING (session_id) JOIN rk b ON b.session_id = a.session_id AND b.r = a.r + k WHERE b.start - a."end" BETWEEN -1e-6 AND 0.75e0
+)"""
+
 
 def _sql(body: str, select: str) -> str:
     return src.with_sql("windows", f"WITH {body.strip()} {select}")
@@ -100,7 +123,7 @@ def _sql(body: str, select: str) -> str:
 
 _R = "round_even({0}, 6) AS {0}".format
 
-QUERIES = {f.__name__: f for f in (knn_spread, calibration_band, core_mask, label_centroids, nearest_centroid, centroid_separation, weighted_silhouette, distance_curve, cluster_prune_cap, frame_votes, timeline_runs)}
+QUERIES = {f.__name__: f for f in (knn_spread, calibration_band, core_mask, label_centroids, nearest_centroid, centroid_separation, weighted_silhouette, distance_curve, session_curve, turn_peaks, cluster_prune_cap, frame_votes, timeline_runs)}
 
 SQL = {
     "knn_spread": _sql(_SPREAD, f"SELECT session_id, window_id, {_R('spread')} FROM spread"),
@@ -120,6 +143,11 @@ SELECT session_id, window_id, core OR count(*) FILTER (WHERE core) OVER (PARTITI
 SELECT session_id, round_even(sum(w * CASE WHEN i IS NULL OR x IS NULL THEN 0e0 ELSE (x - i) / greatest(i, x) END) / sum(w), 6) AS silhouette FROM s GROUP BY session_id"""),
     "distance_curve": _sql(_UNIT, """, l AS (SELECT *, lead(v, 3) OVER (PARTITION BY session_id ORDER BY start, window_id) AS later FROM unit)
 SELECT session_id, window_id, round_even(1 - list_dot_product(v, later), 6) AS distance FROM l WHERE later IS NOT NULL"""),
+    "session_curve": _sql(_UNIT + "," + _CURVE, f"""SELECT session_id, window_id, round_even(curve_at, 6) AS "at", {_R('distance')} FROM curve"""),
+    "turn_peaks": _sql(_BAND + "," + _CURVE, f""", st AS (SELECT session_id, quantile_cont(distance, 0.5) AS med, quantile_cont(distance, 0.9) AS p90, count(*) AS k FROM curve GROUP BY session_id),
+nb AS (SELECT *, lag(distance) OVER o AS before, lead(distance) OVER o AS after FROM curve WINDOW o AS (PARTITION BY session_id ORDER BY curve_at, window_id))
+SELECT session_id, round_even(curve_at, 6) AS "at", {_R('distance')} FROM nb JOIN st USING (session_id) JOIN band USING (session_id)
+WHERE k >= 8 AND p90 - med >= 1e-6 AND distance >= greatest(med + 0.45e0 * (p90 - med), 1.3e0 * s) AND distance >= before AND distance >= after"""),
     "cluster_prune_cap": src.with_sql("windows", """WITH c AS (SELECT session_id, label AS cluster, sum("end" - start) AS seconds, count(*) AS n FROM windows GROUP BY ALL),
 b AS (SELECT *, seconds >= greatest(8e0, 0.08e0 * sum(seconds) OVER (PARTITION BY session_id)) AND n >= 3 AS big, row_number() OVER (PARTITION BY session_id ORDER BY seconds DESC, cluster) AS r FROM c),
 k AS (SELECT *, bool_or(big) OVER (PARTITION BY session_id) AS found FROM b),
