@@ -38,26 +38,47 @@ def tree(weights: list[float], grown: list[float] = ()) -> Tree:
     return regions + [[[(len(weights) + i, w)]] for i, w in enumerate(grown)]
 
 
-def _pick(children: list[tuple[str, float, Column]], key: Column) -> Column:
-    """The third field of the child with the smallest draw; equal draws go to the first name."""
-    if len(children) == 1:
-        return children[0][2]
+def _draw(key: Column, names: list[str], weights: list[float]) -> Column:
+    """The number of the child with the smallest draw; equal draws go to the first name."""
+    if len(names) == 1:
+        return F.lit(0)
 
     def draw(name: str, weight: float) -> Column:
         u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11) + 1) / F.lit(float(1 << 53))
         return -F.log(u) / F.lit(float(weight))
 
-    return F.array_min(F.array(*(F.struct(draw(n, w).alias("draw"), F.lit(n).alias("name"), c.alias("to")) for n, w, c in children)))["to"]
+    return F.array_min(F.array(*(F.struct(draw(n, w).alias("draw"), F.lit(n).alias("name"), F.lit(i).alias("at")) for i, (n, w) in enumerate(zip(names, weights, strict=True)))))["at"]
 
 
-def place(key: Column, layout: Tree) -> Column:
-    """The shard of a key: region, rack and shard, one level after another."""
-    weight = lambda node: sum(map(weight, node)) if isinstance(node, list) else node[1]
+def _weight(node: list | tuple) -> float:
+    return sum(map(_weight, node)) if isinstance(node, list) else node[1]
 
-    def descend(node: list, name: str) -> Column:
-        return _pick([(f"{name}/{i}", weight(c), descend(c, f"{name}/{i}") if isinstance(c, list) else F.lit(c[0])) for i, c in enumerate(node)], key)
 
-    return descend([r for r in layout if weight(r) > 0], "")
+def _cases(at: Column, values: list[Column]) -> Column:
+    """``values[at]``, of which only that one is computed."""
+    out = values[-1]
+    for i, v in reversed(list(enumerate(values[:-1]))):
+        out = F.when(at == i, v).otherwise(out)
+    return out
+
+
+def place(rows: DataFrame, key: str, layout: Tree, name: str) -> DataFrame:
+    """``rows`` with ``name``, the shard of their key: a region is drawn, then a rack of it, then a shard of that.
+
+    Each level is a column of its own, so that a row makes the draws among the children of one node a level, and no others.
+    """
+    #: The nodes of a level with their names, in the order in which the level's column counts them.
+    nodes: list[tuple[str, list]] = [("", [r for r in layout if _weight(r) > 0])]
+    at, extra = F.lit(0), []
+    for level in ("region", "rack", "shard"):
+        first = [sum(len(c) for _, c in nodes[:i]) for i in range(len(nodes))]
+        picks = [F.lit(n) + _draw(F.col(key), [f"{path}/{i}" for i in range(len(c))], [_weight(x) for x in c]) for n, (path, c) in zip(first, nodes, strict=True)]
+        extra.append(f"{name}_{level}")
+        rows = rows.withColumn(extra[-1], _cases(at, picks))
+        at = F.col(extra[-1])
+        nodes = [(f"{path}/{i}", x) for path, c in nodes for i, x in enumerate(c)]
+    shards = F.array(*(F.lit(x[0]) for _, x in nodes))
+    return rows.withColumn(name, F.element_at(shards, at + 1)).drop(*extra)
 
 
 def assign(docs: DataFrame, weights: list[float]) -> DataFrame:
@@ -71,12 +92,8 @@ def assign(docs: DataFrame, weights: list[float]) -> DataFrame:
     # Equal rows become one with a count, then each gets its share of slots.
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     mean = sum(weights) / max(1, len(weights))
-    rows = rows.select(
-        "*",
-        place(F.col("doc_id"), tree(weights)).alias("shard"),
-        place(F.col("doc_id"), tree(weights, [mean])).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(BUCKETS)).cast("int").alias("bucket"),
-    )
+    rows = place(place(rows, "doc_id", tree(weights), "shard"), "doc_id", tree(weights, [mean]), "grown_shard")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(BUCKETS)).cast("int"))
     whole = Window.partitionBy("shard").orderBy("bucket")
     offsets = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("m")).select("shard", "bucket", (F.sum("m").over(whole) - F.col("m")).alias("offset"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
