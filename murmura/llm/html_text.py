@@ -6,8 +6,9 @@ holds the block and in halves to each ancestor above, until nothing is left of t
 never content (menus, headers, footers, forms, scripts, and those whose class, role or id says so) take
 no part.  The best element is kept with all its blocks.  Where no element says that it is the article, the
 best one may be a part of it: it gives way to its parent while that one is a container of the same text (it
-has a heading of its own, its name says that it holds content, or further children are of the best one's kind), and
-then its siblings are kept that look like text as well.
+has a heading of its own, its name says that it holds content, or further children are of the best one's kind).
+Its siblings in one container are kept but for those that are mostly links, and so are the articles beside an article; directly in
+the page's body only siblings that look like text are.
 
 Edge cases: null or empty html gives no text; tags cut off at the end are dropped; unclosed
 paragraphs end where the next block begins; a page without any block outside menus and the like
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from murmura.llm.common import small_batches, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: One attribute after another, so that neither a longer name nor a quoted value is taken for one.
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 
 # Kinds of HTML elements.
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
@@ -121,8 +123,9 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in ROOMS:
                 continue
             names: dict[str, list[str]] = {}
-            for kind, *values in _NAMED.findall(m[3]):
-                names[kind.lower()] = "".join(values).split()
+            for kind, *values in _ATTRIBUTE.findall(m[3]):
+                if kind.lower() in ("class", "id", "role"):
+                    names.setdefault(kind.lower(), "".join(values).split())
             child = Node(tag, node, node.skip or is_boilerplate(tag, names), tuple(x for v in names.values() for x in v))
             node.children.append(child)
             node = child
@@ -185,9 +188,22 @@ def main_text(html: str | None) -> str:
             node = node.parent
     best = _whole_article(best)
     kept = {id(best)}
-    if best.parent is not None and best.tag not in BONUS:
-        for sibling in best.parent.children:
-            if not sibling.skip and sibling.score >= max(3.0, 0.2 * most):
+    parent = best.parent
+    #: Whether what stands beside the best element is part of the same container, and not of the page at large.
+    together = parent is not None and parent.tag not in ("", "html", "body")
+    if parent is not None:
+        for sibling in parent.children:
+            if sibling.skip:
+                continue
+            if best.tag == "article":
+                more = sibling.tag == "article" and _link_share(sibling) <= 0.5
+            elif best.tag in BONUS:
+                more = False
+            elif together:
+                more = _link_share(sibling) <= 0.5
+            else:
+                more = sibling.score >= max(3.0, 0.2 * most)
+            if more:
                 kept.add(id(sibling))
     inside: dict[int, bool] = {}
 
@@ -200,8 +216,11 @@ def main_text(html: str | None) -> str:
         inside.update(dict.fromkeys(path, found))
         return found
 
-    # Paragraphs that stand beside the best element count as siblings, too.
-    beside = lambda node, text: best.tag not in BONUS and (node is best.parent or node.tag in PARAGRAPHS and node.parent is best.parent) and len(text) >= 80
+    # Text that stands in the parent itself; of a page at large only what is long enough to be a paragraph of the article.
+    def beside(node: Node, text: str) -> bool:
+        held = best.tag not in BONUS and (node is parent or node.tag in PARAGRAPHS and node.parent is parent)
+        return held and (together or len(text) >= 80)
+
     return "\n".join(text for node, text in order if within(node) or beside(node, text))
 
 
