@@ -8,7 +8,7 @@ soon walk in step again, so their embeddings are a small Hamming distance apart.
 LSH has its own walk and samples some of its steps as a key.
 
 Windows are sized to the item: an item gives one from each of its offsets to its end, in classes
-of 4, 8, 16 ... words (the largest that fits into the rest of the item), and a walk over a window of
+of 4, 8, 16 ... words (the largest that fits into the rest of the item, ``Lsh.longest`` at most), and a walk over a window of
 n words takes 2 n steps, with one sample in each equal part of them.  Windows of a document begin
 where a word pair of an item stands.  A document's walk goes on only while the samples so far are those of
 some item window, so long walks are rare.  Windows with an equal key in some table are candidates;
@@ -43,8 +43,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from murmura.llm.common import LOWER, mix, slices, small_batches, table, text_view, word_hashes
 
-#: Characters of items in one broadcast.
-MOST_CHARS = 16 << 20
+#: Characters of items in one broadcast; an index takes about 80 bytes for each.
+MOST_CHARS = 1 << 20
 
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[48:58] = NOT_WORD[65:91] = NOT_WORD[97:123] = NOT_WORD[128:] = False
@@ -52,13 +52,15 @@ NOT_WORD[48:58] = NOT_WORD[65:91] = NOT_WORD[97:123] = NOT_WORD[128:] = False
 
 @dataclass(frozen=True)
 class Lsh:
-    """``edits``: the largest share of an item's words that may be edited; ``advance``: words a walk must have passed for its key to count, since a walk that stands still says nothing."""
+    """``edits``: the largest share of an item's words that may be edited; ``advance``: words a walk must have passed for its key to count, since a walk that stands still says nothing;
+    ``longest``: words of the largest windows, a power of two.  A longer item gives windows of that size from each offset, so that its index grows with its length."""
 
     tables: int = 8
     samples: int = 4
     advance: int = 3
     edits: float = 0.2
     min_words: int = 8
+    longest: int = 256
     seed: int = 20
 
 
@@ -198,12 +200,12 @@ class Items:
             order = np.argsort(whole, kind="stable")
             self.short[n] = (whole[order], which[order])
         rests = {k: len(self.words[k]) - np.arange(len(self.words[k]) - 3) for k in usable}
-        size = {k: 1 << np.floor(np.log2(r)).astype(np.int64) for k, r in rests.items()}
-        #: Words that a walk may need behind the last one.
-        self.room = 2 * max((int(s.max()) for s in size.values()), default=0)
-        behind = np.zeros(self.room, np.uint64)
-        flat = np.concatenate([np.concatenate([self.words[k], behind]) for k in usable] or [behind])
-        base = np.cumsum([0] + [len(self.words[k]) + self.room for k in usable])
+        size = {k: np.minimum(lsh.longest, 1 << np.floor(np.log2(r)).astype(np.int64)) for k, r in rests.items()}
+        #: Words that a walk may need behind the last one: each item gets as many as its own largest window needs.
+        rooms = [2 * int(size[k].max()) for k in usable]
+        self.room = max(rooms, default=0)
+        flat = np.concatenate([x for k, room in zip(usable, rooms, strict=True) for x in (self.words[k], np.zeros(room, np.uint64))] or [np.zeros(0, np.uint64)])
+        base = np.cumsum([0] + [len(self.words[k]) + room for k, room in zip(usable, rooms, strict=True)])
         at = np.concatenate([b + np.arange(len(rests[k])) for k, b in zip(usable, base, strict=False)] or [np.zeros(0, np.int64)])
         self.item = np.concatenate([np.full(len(rests[k]), k) for k in usable] or [np.zeros(0, np.int64)])
         self.offset = np.concatenate([np.arange(len(rests[k])) for k in usable] or [np.zeros(0, np.int64)])
