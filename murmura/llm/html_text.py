@@ -7,7 +7,7 @@ never content (menus, headers, footers, forms, scripts, and those whose class, r
 no part.  The best element is kept with all its blocks.  Where no element says that it is the article, the
 best one may be a part of it: it gives way to its parent while that one is a container of the same text (it
 has a heading of its own, its name says that it holds content, or further children are of the best one's kind).
-Its siblings in one container are kept but for those that are mostly links, and so are the articles beside an article; directly in
+Its siblings in one container are kept but for those that are mostly links, and so are the articles beside an article there; directly in
 the page's body only siblings that look like text are.
 
 Edge cases: null or empty html gives no text; tags cut off at the end are dropped; unclosed
@@ -196,7 +196,7 @@ def main_text(html: str | None) -> str:
             if sibling.skip:
                 continue
             if best.tag == "article":
-                more = sibling.tag == "article" and _link_share(sibling) <= 0.5
+                more = together and sibling.tag == "article" and _link_share(sibling) <= 0.5
             elif best.tag in BONUS:
                 more = False
             elif together:
