@@ -359,10 +359,12 @@ def drop_repeats(docs: DataFrame, rule: Repeat = Repeat(), words: int | None = N
     """``docs`` without the repeated bytes; only whole characters go, and rows that lose all their text go, too.
 
     With ``words``, runs of that many words that stand in more than one place go as well, however few
-    bytes they have.  A column ``n_chars`` is set to the new length.
+    bytes they have.  A column ``n_chars`` is set to the new length; all other columns are kept as they are, whatever their names.
     """
     columns = docs.columns
-    joined = _with_spans(docs, columns, rule, words).select(*columns, "spans", *(["runs"] if words else []))
+    # On the way the caller's columns have names that no column of this module has.
+    carried = [c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(columns)]
+    joined = _with_spans(docs.toDF(*carried), carried, rule, words).select(*carried, "spans", *(["runs"] if words else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,7 +384,8 @@ def drop_repeats(docs: DataFrame, rule: Repeat = Repeat(), words: int | None = N
                 texts.append(b"".join([*parts, raw[at:]]).decode() if gone else None)
             changed = pa.array([t is not None for t in texts])
             text = pa.compute.if_else(changed, pa.array(texts, pa.string()), batch.column("text").cast(pa.string()))
-            out = [text if c == "text" else pa.compute.if_else(changed, pa.compute.utf8_length(text).cast(batch.column(c).type), batch.column(c)) if c == "n_chars" else batch.column(c) for c in columns]
+            own = zip(columns, map(batch.column, carried), strict=True)
+            out = [text if c == "text" else pa.compute.if_else(changed, pa.compute.utf8_length(text).cast(v.type), v) if c == "n_chars" else v for c, v in own]
             keep = pa.compute.invert(pa.compute.and_(changed, pa.compute.equal(pa.compute.fill_null(text, "-"), "")))
             yield pa.RecordBatch.from_arrays(out, names=columns).filter(keep)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from murmura.llm import chat, decontaminate, html_text, shards
+from murmura.llm import chat, decontaminate, html_text, passages, shards
 
 LONG = "A sentence that is long enough, with commas, to be the best part of a page, as the text of an article is."
 
@@ -95,3 +95,16 @@ def test_shards_against_a_walk(spark, weights):
     mean = sum(weights) / len(weights)
     for r in shards.assign(df, weights).collect():
         assert r.shard == plain_place(r.doc_id, shards.tree(weights)) and r.grown_shard == plain_place(r.doc_id, shards.tree(weights, [mean]))
+
+
+@pytest.mark.parametrize("words", [None, 51])
+def test_repeats_leave_other_columns_alone(spark, words):
+    passage = " ".join(f"shared{i}word" for i in range(80))
+    names = ["k1", "k2", "spans", "runs", "gram", "own_0", "c1", "start", "K3", "row"]
+    rows = [(i, f"{t} {passage} {t}", *(f"{n}{i}" for n in names), 5) for i, t in enumerate(("one", "two", "three"))] + [(3, None, *names, 0), (3, None, *names, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names) + ", n_chars int")
+    out = passages.drop_repeats(df, words=words)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id, *(r[n] for n in names)) for r in out.collect())
+    assert got == sorted((r[0], *r[2:-1]) for r in rows)
+    assert all(r.text is None or len(r.text) < 20 and r.n_chars == len(r.text) for r in out.collect() if r.doc_id < 3)
