@@ -22,7 +22,7 @@ from murmura.functions.assign import assignment, gated, linkage_cuts
 from murmura.operators import clustering, discovery, intervals, records, scoring, signal, telemetry, tenancy, transcript, vectors
 from murmura.plans import guards, transcripts
 from murmura.sources import annotations
-from murmura.streaming import registry, segmenter, stitching
+from murmura.streaming import registry, segmenter, steps, stitching
 
 SINHALA, TAMIL, THAANA = "[ක-ෆඅ-ඖ]", "[அ-ஹ]", "[ހ-ޥ]"
 
@@ -631,7 +631,7 @@ def test_registry_as_stream(spark, tmp_path):
     rows["part"] = (rows["start"] // 28).astype(int)
     end = pd.DataFrame([(s, None, None, None, None, None) for s in (1, 2)], columns=list(rows.columns[:6]))
     last_part = int(rows["part"].max())
-    registry.use_rocksdb(spark)
+    steps.use_rocksdb(spark)
 
     def run(parts):
         for p in parts:
@@ -649,7 +649,7 @@ def test_registry_as_stream(spark, tmp_path):
 
 def test_registry_stream_ends_idle_sessions(spark, tmp_path):
     v = made_up_voices(9, 2)
-    registry.use_rocksdb(spark)
+    steps.use_rocksdb(spark)
     df = talk(spark, [v[(i // 3) % 2] for i in range(30)])
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     want = sorted(map(repr, registry.passes(df).collect()))
