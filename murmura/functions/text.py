@@ -111,25 +111,6 @@ def most_frequent(items: Column) -> Column:
     return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["best"])
 
 
-def unique_ratio(toks: Column) -> Column:
-    return F.when(F.size(toks) == 0, 1.0).otherwise(F.size(F.array_distinct(toks)) / F.size(toks))
-
-
-def with_repetition(df: DataFrame, text: str, run: int = 4, least: int = 12, ratio: float = 0.45, repeats: int = 3) -> DataFrame:
-    """Adds unique_ratio, top_trigram and degenerate: a loop of repetition, by a long run of one token or a long text of few tokens or of one phrase.
-
-    Runs are found by a back reference in the text of run keys; tokens of punctuation leave a gap that ends a run.
-    """
-    folded = fold_case(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
-    keys = F.regexp_replace(F.col("_folded"), r"(?:^|(?<= ))[.,!?…:;]+|[.,!?…:;]+(?= |$)", "")
-    toks = F.col("_toks")
-    df = df.withColumn("_folded", folded)
-    df = df.withColumns({"_toks": F.filter(F.split("_folded", " "), lambda t: t != ""), "_loop": keys.rlike(rf"(?:^| )([^ ]+)(?: \1){{{run - 1}}}(?: |$)")})
-    df = df.withColumns({"unique_ratio": unique_ratio(toks), "top_trigram": most_frequent(ngrams(toks)), "_n": F.size(toks)})
-    poor = (F.col("unique_ratio") < ratio) | (F.col("top_trigram") >= repeats)
-    return df.withColumn("degenerate", F.col("_loop") | ((F.col("_n") >= least) & poor)).drop("_folded", "_toks", "_loop", "_n")
-
-
 def with_echo(df: DataFrame, text: str, context: str, least: int = 5, share: float = 0.8) -> DataFrame:
     """Adds echo_share, the share of the text's 3-grams that the context has in one case, and echo, whether that makes the text an echo.
 

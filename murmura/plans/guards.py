@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from murmura.functions import guards as G
 from murmura.functions import text as T
 from murmura.sources import adapters as src
 
 #: The first half of the alphabet: an allowed script that leaves much of the test data foreign.
 HALF = "[A-Ma-m]"
+#: Languages that a session admits.
+LANGUAGES = ("en", "de", "fr")
 
 
 def documents(spark, sf_dir):
@@ -45,7 +48,8 @@ def token_run_longest(spark, sf_dir):
 
 
 def repetition_guard(spark, sf_dir):
-    return T.with_repetition(documents(spark, sf_dir), "text").select("doc_id", F.bround("unique_ratio", 6).alias("unique_ratio"), "top_trigram", "degenerate")
+    found = G.guarded(documents(spark, sf_dir).select("doc_id", "text"), "text", strip=False)
+    return found.select("doc_id", F.bround("unique_ratio", 6).alias("unique_ratio"), F.col("top_trigram").cast("int").alias("top_trigram"), "degenerate")
 
 
 def with_context(df, last=1200, rows=500):
@@ -78,18 +82,20 @@ def context_echo(spark, sf_dir):
 
 
 def clean_transcript_reasons(spark, sf_dir):
-    """The guards in order; the first that fires names the reason and the text is dropped."""
+    """The guards in order, the language at the end; the first that fires names the reason and the text is dropped."""
     text, allowed = F.col("text"), "[A-Ta-t]"
-    df = documents(spark, sf_dir).withColumn("kept", T.strip_foreign(text, allowed)).withColumn("share", T.foreign_share(text, allowed))
-    kept = F.col("kept")
-    df = T.with_repetition(df, "kept")
+    df = with_context(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    df = df.withColumns({"context": F.when(F.col("doc_id") % 5 == 0, text).otherwise(F.col("context")), "share": T.foreign_share(text, allowed), "blank": F.trim(F.coalesce(text, F.lit(""))) == ""})
+    df = G.guarded(df, "text", "context", G.Guard(allowed=allowed))
     reason = (
-        F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "blank")
-        .when(kept == "", "foreign script")
-        .when((F.col("share") >= 0.3) & (T.word_count(kept) < 3), "remnant too short")
+        F.when(F.col("blank"), "blank")
+        .when(F.col("kept") == "", "foreign script")
+        .when((F.col("share") >= 0.3) & (F.col("n_tokens") < 3), "remnant too short")
         .when(F.col("degenerate"), "repetition loop")
+        .when(F.col("echo"), "echo of the context")
+        .when(~F.coalesce(F.col("lang").isin(*LANGUAGES), F.lit(False)), "language")
     )
-    return df.select("doc_id", reason.alias("reason"), F.when(reason.isNull(), F.char_length(kept)).otherwise(0).cast("long").alias("kept_chars"))
+    return df.select("doc_id", reason.alias("reason"), F.when(reason.isNull(), F.char_length("kept")).otherwise(0).cast("long").alias("kept_chars"))
 
 
 TOK = r"list_filter(string_split_regex(coalesce({0}, ''), '\s+'), lambda x: x <> '')"
@@ -156,10 +162,15 @@ g AS (SELECT doc_id, len(t) AS nt, len(c) AS nc, list_transform(range(1, greates
 s AS (SELECT doc_id, nt, nc, CASE WHEN len(own) = 0 THEN 0e0 ELSE len(list_filter(own, lambda x: list_contains(given, x))) / len(own) END AS share FROM g)
 SELECT doc_id, round_even(share, 6) AS share, nt >= 5 AND nc >= 3 AND share >= 0.8e0 AS echo FROM s""",
     "clean_transcript_reasons": rf"""
-WITH k AS (SELECT doc_id, text AS source, {_strip('text', '[A-Ta-t]')} AS text, {_share('text', '[A-Ta-t]')} AS share FROM documents), {_runs('k')}, {_grams('k')},
+WITH k AS (SELECT doc_id, lang, text AS source, {_strip('text', '[A-Ta-t]')} AS text, {_share('text', '[A-Ta-t]')} AS share FROM documents), {_runs('k')}, {_grams('k')},
+c AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE coalesce(right(lag(text) OVER (PARTITION BY lang ORDER BY doc_id), 1200), '') END AS context FROM documents),
+h AS (SELECT doc_id, list_transform({_tok('context')}, lambda x: replace(lower(x), 'ß', 'ss')) AS c FROM c),
+e AS (SELECT h.doc_id, t, list_transform(range(1, greatest(1, len(t) - 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS own, list_transform(range(1, greatest(1, len(c) - 1)), lambda i: c[i] || ' ' || c[i + 1] || ' ' || c[i + 2]) AS given FROM h JOIN ft USING (doc_id)),
+m AS (SELECT doc_id, len(t) >= 5 AND len(given) > 0 AND len(list_filter(own, lambda x: list_contains(given, x))) / greatest(1, len(own)) >= 0.8e0 AS echo FROM e),
 r AS (
-  SELECT k.doc_id, text, CASE WHEN trim(coalesce(source, '')) = '' THEN 'blank' WHEN text = '' THEN 'foreign script' WHEN share >= 0.3e0 AND n_tokens < 3 THEN 'remnant too short' WHEN {_DEGENERATE} THEN 'repetition loop' END AS reason
-  FROM k JOIN run USING (doc_id) JOIN tops USING (doc_id)
+  SELECT k.doc_id, text, CASE WHEN trim(coalesce(source, '')) = '' THEN 'blank' WHEN text = '' THEN 'foreign script' WHEN share >= 0.3e0 AND n_tokens < 3 THEN 'remnant too short' WHEN {_DEGENERATE} THEN 'repetition loop'
+    WHEN echo THEN 'echo of the context' WHEN lang NOT IN ('en', 'de', 'fr') OR lang IS NULL THEN 'language' END AS reason
+  FROM k JOIN run USING (doc_id) JOIN tops USING (doc_id) JOIN m USING (doc_id)
 )
 SELECT doc_id, reason, CASE WHEN reason IS NULL THEN length(text) ELSE 0 END::BIGINT AS kept_chars FROM r""",
 }

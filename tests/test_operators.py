@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from murmura.functions import guards as guard_functions
 from murmura.functions import service as S
 from murmura.functions import text as T
 from murmura.functions import voices as V
@@ -59,7 +60,36 @@ def test_strip_foreign(spark):
     [("ok ok ok ok", True), ("yes. yes. yes. Yes", True), ("no no I meant the other one", False), ("very very very good", False), ("a b c " * 5, True), ("2024", False), ("", False), ("... ... ... ...", False)],
 )
 def test_repetition(spark, text, loop):
-    assert T.with_repetition(spark.createDataFrame([(text,)], "text string"), "text").first().degenerate == loop
+    assert guard_functions.guarded(spark.createDataFrame([(text,)], "text string"), "text", strip=False).first().degenerate == loop
+
+
+def test_guards_in_one_pass(spark):
+    """Against plain loops: what is kept, repetition and echo, over null, blank and long texts and Unicode space."""
+    rng = np.random.default_rng(0)
+    some = ["ok", "OK", "Straße", "strasse", "no.", "...", "ab\u0d85", "\u0d85\u0d86", "12", "the", "cat", "sat"]
+    texts = [None, "", " \u2003 ", "a\u00a0b\u3000c", "x " * 50_000] + [" ".join(rng.choice(some, int(rng.integers(1, 40)))) for _ in range(150)]
+    rows = [(i, t, texts[i - 1] if i % 3 else t, 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, text string, context string, kept_before int").repartition(3)
+    got = {r.i: r for r in guard_functions.guarded(df, "text", "context").collect()}
+    fold = lambda t: [x.lower().replace("ß", "ss") for x in t]
+    grams = lambda t: [tuple(t[k : k + 3]) for k in range(len(t) - 2)]
+    for i, text, context, _ in rows:
+        toks = [t for t in (text or "").split() if sum(c.isascii() and c.isalpha() for c in t) >= 0.5 * sum(c.isalpha() for c in t)]
+        low = fold(toks)
+        run = best = 0
+        last = None
+        for k in (x.strip(".,!?…:;") for x in low):
+            run = run + 1 if k and k == last else 1 if k else 0
+            best, last = max(best, run), k
+        top = max(Counter(grams(low)).values(), default=0)
+        ratio = len(set(low)) / len(low) if low else 1.0
+        given = set(grams(fold((context or "").split())))
+        share = sum(g in given for g in grams(low)) / len(grams(low)) if len(low) > 2 else 0.0
+        r = got[i]
+        assert (r.kept, r.n_tokens, r.top_trigram, r.kept_before) == (" ".join(toks), len(toks), top, 7) and r.unique_ratio == pytest.approx(ratio)
+        assert r.degenerate == (best >= 4 or len(low) >= 12 and (ratio < 0.45 or top >= 3))
+        assert r.echo_share == pytest.approx(share) and r.echo == (len(low) >= 5 and bool(given) and share >= 0.8)
+    assert guard_functions.guarded(spark.createDataFrame([], "i int, text string"), "text").count() == 0
 
 
 def test_echo(spark):
