@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.session import ship
+
 # --- logs -----------------------------------------------------------------------------
 
 # The kinds of log lines in the order in which they are tried, the names of the groups, and the patterns.
@@ -187,7 +191,7 @@ def sign_in_candidates(users: DataFrame) -> DataFrame:
 def founded(organizations: DataFrame, owners: DataFrame) -> DataFrame:
     """New organisations with their owner, as one row each, so that both are written or neither; those without an owner, or with several, are left out.
 
-    Two tables can't be written in one transaction here; the pair is one row of one write instead.
+    Where they are two tables, ``sources.versions`` publishes both with one manifest.
     """
     one = owners.groupBy("organization_id").agg(F.count("*").alias("_n"), F.min("user_id").alias("owner_id")).filter("_n = 1").drop("_n")
     return organizations.join(one, "organization_id")
@@ -196,16 +200,18 @@ def founded(organizations: DataFrame, owners: DataFrame) -> DataFrame:
 # --- sound ----------------------------------------------------------------------------
 
 
-def pcm_samples(pcm: Column) -> Column:
-    """16-bit little-endian samples as numbers from -1 up to 1; an odd last byte is left."""
-    n = F.floor(F.octet_length(pcm) / 2).cast("int")
-    byte = lambda i: F.conv(F.hex(F.substring(pcm, i, F.lit(1))), 16, 10).cast("int")
+def with_samples(sound: DataFrame, pcm: str, name: str) -> DataFrame:
+    """Adds the 16-bit little-endian samples of a binary column as numbers from -1 up to 1; an odd last byte is left, null has none."""
+    ship(sound.sparkSession)
 
-    def value(i: Column) -> Column:
-        u = byte(2 * i + 1) + byte(2 * i + 2) * 256
-        return F.when(u >= 32768, u - 65536).otherwise(u) / 32768.0
+    @F.arrow_udf("array<double>")
+    def decode(column: pa.Array) -> pa.Array:
+        raw = [x or b"" for x in column.to_pylist()]
+        upto = np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])]).astype(np.int32)
+        whole = b"".join(x[: len(x) // 2 * 2] for x in raw)
+        return pa.ListArray.from_arrays(pa.array(upto), pa.array(np.frombuffer(whole, "<i2") / 32768.0))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<double>"))
+    return sound.withColumn(name, decode(pcm))
 
 
 def to_pcm(sample: Column) -> Column:

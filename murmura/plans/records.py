@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from murmura.operators import records as R
+from murmura.operators import signal
 from murmura.operators import scoring
 from murmura.plans.operations import _RUNS, _pick, runs
 from murmura.plans.services import SQL as SERVICES
@@ -119,20 +120,30 @@ def sign_in_candidates(spark, sf_dir):
 
 
 def founded_organizations(spark, sf_dir):
-    owners = src.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 40).cast("int").alias("organization_id"), F.col("s_suppkey").alias("user_id"))
-    return R.founded(src.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("organization_id"), F.col("n_name").alias("name")), owners)
+    """Suppliers in threes: the first and the second own the first's organisation, the third its own, the second's has no owner."""
+    supplier, k = src.read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    owners = supplier.select((k - (k % 3 == 2).cast("int")).alias("organization_id"), k.alias("user_id"))
+    return R.founded(supplier.select(k.alias("organization_id"), F.col("s_name").alias("name")), owners)
 
 
 def pcm(spark, sf_dir):
-    """The first bytes of texts as sound."""
-    return src.read(spark, sf_dir, "documents").select("doc_id", F.encode(F.regexp_replace(F.substring("text", 1, 9), r"[^\x01-\x7F]", "~"), "utf-8").alias("pcm"))
+    """The bytes of whole texts as sound."""
+    return src.read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("pcm"))
 
 
 def pcm_samples(spark, sf_dir):
-    rows = pcm(spark, sf_dir).select("doc_id", R.pcm_seconds(F.col("pcm"), 8).alias("seconds"), R.content_key(F.col("pcm")).alias("key"), F.explode_outer(R.pcm_samples(F.col("pcm"))).alias("x"))
+    # Once for each piece of sound, before its samples become rows.
+    each = R.with_samples(pcm(spark, sf_dir), "pcm", "samples").select("doc_id", R.pcm_seconds(F.col("pcm"), 8000).alias("seconds"), R.content_key(F.col("pcm")).alias("key"), "samples")
+    rows = each.select("doc_id", "seconds", "key", F.explode_outer("samples").alias("x"))
     return rows.groupBy("doc_id", "seconds", "key").agg(F.count("x").alias("n"), F.sum("x").alias("total"), F.sum(R.to_pcm(F.col("x"))).alias("back"))
 
 
+def sound_levels(spark, sf_dir):
+    """Energy and length of the same sound; music is let through."""
+    found = signal.gate(signal.features(pcm(spark, sf_dir), rate=1000), least_rms=24_000.0, mode="off")
+    return found.select("doc_id", F.bround("rms", 3).alias("rms"), "seconds", "confident", "verdict")
+
+
 def length_batches(spark, sf_dir):
     """Batches of 64 documents of like length as windows; equal texts are one."""
     rows = src.read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("key"), "n_chars")
@@ -144,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         log_kinds, log_report, score_report, run_table, pass_stats, live_snapshot, scenario_backends, offline_candidates, outbound_messages, client_view, close_codes, fenced_answers, covered_segments,
-        finished_labels, windows_concatenated, band_in_force, settings, sign_in_candidates, founded_organizations, pcm_samples, length_batches,
+        finished_labels, windows_concatenated, band_in_force, settings, sign_in_candidates, founded_organizations, pcm_samples, sound_levels, length_batches,
     )
 }
 
@@ -153,6 +164,9 @@ _PARSED = f"""l AS (
   SELECT user_id AS log_id, event_id AS line_no, event_id // 3 % 5 AS seg, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE event_id // 3 % 17 END AS w, replace(([{_LIST}])[CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE event_id // 3 % 17 END + 1], '%d', (event_id // 3 % 5)::VARCHAR) AS line FROM events
 ), p AS (SELECT *, CASE """ + " ".join(f"WHEN regexp_matches(line, '{x}') THEN '{n}'" for n, _, x in R.LOG_KINDS) + " END AS kind FROM l)"
 _DER = SERVICES["der_score"]
+#: b(doc_id, text) and x(doc_id, x), the samples of the texts' bytes.
+_SAMPLES = """b AS (SELECT doc_id, text FROM documents), h AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS c FROM b),
+u AS (SELECT doc_id, unnest(list_transform(range(0, len(c) // 2), lambda i: ('0x' || c[2 * i + 2] || c[2 * i + 1])::INT)) AS u FROM h), x AS (SELECT doc_id, CASE WHEN u >= 32768 THEN u - 65536 ELSE u END AS x FROM u)"""
 
 SQL = {
     "log_kinds": f"""WITH {_PARSED} SELECT log_id, line_no, kind, CASE WHEN kind IN ('segment', 'split', 'completed', 'timeout', 'ratelimit', 'backlog', 'gated', 'langdrop', 'repeat', 'queuefull') THEN seg END::INT AS segment,
@@ -188,10 +202,11 @@ FROM chunks c LEFT JOIN timeline t ON t.session_id = c.session_id AND t.run_id =
     "settings": """SELECT c_custkey::VARCHAR AS name, CASE WHEN c_custkey % 3 = 0 THEN 'e' || c_custkey WHEN c_custkey % 2 = 0 THEN 'p' || c_custkey ELSE 'b' END AS value,
   CASE WHEN c_custkey % 3 = 0 THEN 'environment' WHEN c_custkey % 2 = 0 THEN 'profile' ELSE 'base' END AS origin FROM customer""",
     "sign_in_candidates": "SELECT c_custkey % 97 AS email, c_custkey AS user_id, c_custkey * 37 % 101 AS created_at, row_number() OVER (PARTITION BY c_custkey % 97 ORDER BY c_custkey * 37 % 101, c_custkey)::INT AS place FROM customer",
-    "founded_organizations": "WITH o AS (SELECT (s_suppkey % 40)::INT AS organization_id, min(s_suppkey) AS owner_id FROM supplier GROUP BY ALL HAVING count(*) = 1) SELECT n_nationkey AS organization_id, n_name AS name, owner_id FROM nation JOIN o ON organization_id = n_nationkey",
-    "pcm_samples": r"""WITH b AS (SELECT doc_id, regexp_replace(substr(text, 1, 9), '[^\x01-\x7F]', '~', 'g') AS t FROM documents),
-u AS (SELECT doc_id, t, unnest(range(0, length(t) // 2)) AS i FROM b), x AS (SELECT doc_id, (ord(t[2 * i + 1]) + ord(t[2 * i + 2]) * 256) / 32768e0 AS x FROM u)
-SELECT b.doc_id, length(t) / 2 / 8e0 AS seconds, sha256(t) AS key, count(x) AS n, sum(x) AS total, sum(trunc(x * 32767)::INT)::BIGINT AS back FROM b LEFT JOIN x USING (doc_id) GROUP BY b.doc_id, t""",
+    "founded_organizations": "WITH o AS (SELECT s_suppkey - (s_suppkey % 3 = 2)::INT AS organization_id, min(s_suppkey) AS owner_id FROM supplier GROUP BY ALL HAVING count(*) = 1) SELECT s_suppkey AS organization_id, s_name AS name, owner_id FROM supplier JOIN o ON organization_id = s_suppkey",
+    "pcm_samples": rf"""WITH {_SAMPLES}
+SELECT b.doc_id, octet_length(encode(text)) / 2 / 8000e0 AS seconds, sha256(text) AS key, count(x) AS n, sum(x / 32768e0) AS total, sum(trunc(x / 32768e0 * CASE WHEN x < 0 THEN 32768 ELSE 32767 END)::INT)::BIGINT AS back FROM b LEFT JOIN x USING (doc_id) GROUP BY b.doc_id, text""",
+    "sound_levels": rf"""WITH {_SAMPLES}, l AS (SELECT b.doc_id, coalesce(sqrt(avg(x::DOUBLE * x)), 0e0) AS rms, count(x) AS n FROM b LEFT JOIN x USING (doc_id) GROUP BY b.doc_id)
+SELECT doc_id, round_even(rms, 3) AS rms, n / 1000e0 AS seconds, n >= 1500 AS confident, CASE WHEN rms < 24000 THEN 'quiet' ELSE 'keep' END AS verdict FROM l""",
     "length_batches": """WITH o AS (SELECT sha256(text) AS key, min(n_chars) AS n FROM documents WHERE n_chars >= 20 GROUP BY ALL), c AS (SELECT n // 500 AS bucket, count(*) AS windows FROM o GROUP BY ALL)
 SELECT bucket, ceil(windows / 64)::BIGINT AS batches, windows, least(64, windows) AS largest FROM c""",
 }

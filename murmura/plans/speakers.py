@@ -34,8 +34,9 @@ def stitch_identities(spark, sf_dir):
 
 
 def music_features(spark, sf_dir):
-    measured = signal.gate(signal.features(signal.tones(spark, 60)))
-    return measured.select("piece", "kind", "verdict", "confident", *(F.bround(c, 6).alias(c) for c in ("rms", "seconds", "music")))
+    """The measures of the bytes of whole texts as sound."""
+    measured = signal.gate(signal.features(src.read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("pcm")), rate=1000))
+    return measured.select("doc_id", "verdict", "confident", *(F.bround(c, 6).alias(c) for c in ("rms", "seconds", "low_energy", "syllables", "crossings", "flux", "music")))
 
 
 def greedy_speakers(spark, sf_dir):
