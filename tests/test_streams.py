@@ -2,6 +2,7 @@
 
 import json
 import time
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -159,3 +160,48 @@ def test_identities_as_stream(spark, tmp_path):
         source = spark.readStream.schema(BLOCKS).parquet(str(tmp_path / "in"))
         finish(stitching.stream(source, rule).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start())
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(stitching.COLUMNS).collect())) == want
+
+
+# --- arrivals ---------------------------------------------------------------------------
+
+FRAMES = "session_id long, frame long, started_at timestamp"
+
+
+def test_late_and_repeated_frames(spark, tmp_path):
+    """Frames of 30 ms in three micro-batches, with repeats within and across them and some far too late: rows, beats and dropped rows are all as counted by hand."""
+    from murmura.streaming import arrivals
+
+    batches = [
+        [(s, k) for s in (1, 2) for k in range(700)] + [(1, 5), (1, 5), (2, 699)],
+        [(1, k) for k in range(690, 1500)] + [(2, k) for k in range(700, 1400)],
+        [(1, 3), (2, 10), (1, 1499)] + [(s, k) for s in (1, 2) for k in range(1500, 2400)],
+    ]
+    start = datetime(2026, 1, 1)
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(s, f, start) for s, f in rows], FRAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{k}"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    heard = source.withColumn("at", arrivals.event_time(F.col("started_at"), F.col("frame") * 0.03))
+    kept = arrivals.fresh(heard, "at", ["session_id", "frame"], "5 seconds")
+    query = arrivals.beats(kept, "at", "session_id").writeStream.format("memory").queryName("beats_seen").outputMode("append").trigger(availableNow=True).start()
+    finish(query)
+    # The watermark of a batch is the newest time of the batches before, less five seconds.
+    seen, mark, newest, late, repeated = set(), -1e9, 0.0, 0, 0
+    for rows in batches:
+        for r in rows:
+            if r[1] * 0.03 < mark:
+                late += 1
+            elif r in seen:
+                repeated += 1
+            else:
+                seen.add(r)
+        newest = max([newest, *(f * 0.03 for _, f in rows)])
+        mark = newest - 5
+    assert arrivals.dropped(query) == {"late": late, "repeated": repeated} and late == 2 and repeated >= 13
+    want = {}
+    for s, f in seen:
+        begin = int(f * 0.03 // 10) * 10
+        if begin + 10 <= mark:
+            want[s, begin] = want.get((s, begin), 0) + 1
+    got = {(r.session_id, round((r.begin - start).total_seconds())): r.n for r in spark.table("beats_seen").collect()}
+    assert got == want and len(want) >= 10
