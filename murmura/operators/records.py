@@ -50,18 +50,23 @@ def parse_log(lines: DataFrame) -> DataFrame:
 def log_report(parsed: DataFrame) -> DataFrame:
     """One row a log (log_id, line_no, kind, fields): the ceiling, the course of the count, coverage, losses, and whether there is a problem.
 
-    Segments count once by their number; of the counts over time the last is final, and a flip is a change from one to the next.
+    Segments count once by their number, of a segment that was split more than once the last line counts; of the counts over time the last is final,
+    and a flip is a change from one to the next.
     """
     of = lambda k, f: F.when(F.col("kind") == k, F.col("fields")[f])
     w = Window.partitionBy("log_id", "kind").orderBy("line_no")
     df = parsed.withColumn("_k", of("timeline", "k").cast("int")).withColumn("_flip", F.col("_k") != F.lag("_k").over(w))
+    # Numbers, so that "07" and "7" are one segment.
+    segment = F.col("fields")["id"].cast("long")
+    df = df.withColumn("_id", segment).withColumn("_newest", F.col("line_no") == F.max("line_no").over(Window.partitionBy("log_id", "kind", "_id")))
+    split = lambda f: F.coalesce(F.sum(F.when(F.col("_newest"), of("split", f).cast("int"))), F.lit(0))
     at = F.when(F.col("_k").isNotNull(), F.col("line_no"))
-    made, ended = F.collect_set(of("segment", "id")), F.collect_set(of("completed", "id"))
+    made, ended = (F.collect_set(F.when(F.col("kind") == k, F.col("_id"))) for k in ("segment", "completed"))
     out = df.groupBy("log_id").agg(
         F.max_by(of("session", "cap"), F.when(F.col("kind") == "session", F.col("line_no"))).alias("ceiling"),
         F.max_by("_k", at).alias("final_speakers"), F.min("_k").alias("fewest"), F.max("_k").alias("most"), F.count_if("_flip").alias("flips"),
         made.alias("made"), ended.alias("ended"), F.count(of("completed", "id")).alias("completions"),
-        F.coalesce(F.sum(of("split", "n").cast("int")), F.lit(0)).alias("pieces"), F.coalesce(F.sum(of("split", "refused").cast("int")), F.lit(0)).alias("refused"),
+        split("n").alias("pieces"), split("refused").alias("refused"),
         F.count_if(F.col("kind").isin(*LOSSY)).alias("losses"), F.count_if(F.col("kind").isin("timeout", "ratelimit")).alias("delays"),
     )
     hard = F.coalesce(F.try_to_number("ceiling", F.lit("999999999")) > 0, F.lit(False))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 
 def nearest_rank(values: Column, percent: float) -> Column:
@@ -21,7 +22,35 @@ def latest_percentiles(events: DataFrame, key: str, value: str, order: list[str]
 
 def counters(events: DataFrame, key: str, kind: str, kinds: list[str]) -> DataFrame:
     """One count for each kind of event."""
-    return events.groupBy(key).agg(*(F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds), F.count("*").alias("n"))
+    return events.groupBy(key).agg(*tallies(kind, kinds))
+
+
+def tallies(kind: str, kinds: list[str]) -> list[Column]:
+    return [*(F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds), F.count("*").alias("n")]
+
+
+def observed(events: DataFrame, kind: str, kinds: list[str]) -> tuple[DataFrame, Observation]:
+    """``events`` as they are, and the counts of each kind that whatever reads them leaves behind: no second scan.
+
+    ``Observation.get`` has the counts once an action over the frame has ended.
+    """
+    seen = Observation()
+    return events.observe(seen, *tallies(kind, kinds)), seen
+
+
+def observed_live(events: DataFrame, name: str, kind: str, kinds: list[str]) -> DataFrame:
+    """The same for a stream: every micro-batch reports its counts under ``name``, which ``totals`` adds up."""
+    return events.observe(name, *tallies(kind, kinds))
+
+
+def totals(query: StreamingQuery, name: str) -> dict[str, int]:
+    """The counts of all micro-batches that the query still remembers (spark.sql.streaming.numRecentProgressUpdates)."""
+    out: dict[str, int] = {}
+    for progress in query.recentProgress:
+        row = progress["observedMetrics"].get(name)
+        for k, v in (row.asDict() if hasattr(row, "asDict") else row or {}).items():
+            out[k] = out.get(k, 0) + (v or 0)
+    return out
 
 
 def heartbeats(events: DataFrame, key: str, every: str) -> DataFrame:

@@ -175,7 +175,7 @@ SQL = {
 u AS (SELECT log_id, count(*) AS unfinished FROM (SELECT log_id, seg FROM p WHERE kind = 'segment' EXCEPT SELECT log_id, seg FROM p WHERE kind = 'completed') GROUP BY log_id)
 SELECT log_id, CASE WHEN bool_or(kind = 'session') THEN '0' END AS ceiling, arg_max(seg, line_no) FILTER (WHERE kind = 'timeline')::INT AS final_speakers, min(seg) FILTER (WHERE kind = 'timeline')::INT AS fewest, max(seg) FILTER (WHERE kind = 'timeline')::INT AS most,
   count(*) FILTER (WHERE flip) AS flips, (count(DISTINCT seg) FILTER (WHERE kind = 'segment'))::INT AS created, count(*) FILTER (WHERE kind = 'completed') AS completions, coalesce(any_value(unfinished), 0)::INT AS unfinished,
-  2 * count(*) FILTER (WHERE kind = 'split') AS pieces, count(*) FILTER (WHERE kind = 'split') AS refused, count(*) FILTER (WHERE kind IN ({', '.join(f"'{k}'" for k in R.LOSSY)})) AS losses, count(*) FILTER (WHERE kind IN ('timeout', 'ratelimit')) AS delays,
+  2 * count(DISTINCT seg) FILTER (WHERE kind = 'split') AS pieces, count(DISTINCT seg) FILTER (WHERE kind = 'split') AS refused, count(*) FILTER (WHERE kind IN ({', '.join(f"'{k}'" for k in R.LOSSY)})) AS losses, count(*) FILTER (WHERE kind IN ('timeout', 'ratelimit')) AS delays,
   CASE WHEN NOT bool_or(kind = 'session') THEN 2 WHEN coalesce(any_value(unfinished), 0) > 0 OR bool_or(kind IN ({', '.join(f"'{k}'" for k in R.LOSSY)})) THEN 1 ELSE 0 END::INT AS status
 FROM f LEFT JOIN u USING (log_id) GROUP BY log_id""",
     "score_report": f"""WITH d AS ({_DER}), s AS (SELECT *, correct + confusion + missed AS sp FROM d)

@@ -205,3 +205,25 @@ def test_late_and_repeated_frames(spark, tmp_path):
             want[s, begin] = want.get((s, begin), 0) + 1
     got = {(r.session_id, round((r.begin - start).total_seconds())): r.n for r in spark.table("beats_seen").collect()}
     assert got == want and len(want) >= 10
+
+
+# --- counts on the way --------------------------------------------------------------------
+
+KINDS = ["click", "view", "purchase"]
+
+
+def test_counts_on_the_way(spark, small, tmp_path):
+    """What an action and a stream count while they read equals the aggregate."""
+    from murmura.operators import telemetry
+
+    events = spark.read.parquet(f"{small}/events.parquet")
+    want = events.agg(*telemetry.tallies("event_type", KINDS)).first().asDict()
+    frame, seen = telemetry.observed(events, "event_type", KINDS)
+    frame.filter("user_id % 2 = 0").write.parquet(str(tmp_path / "even"))
+    assert seen.get == want
+    events.repartition(4).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = telemetry.observed_live(source, "kinds", "event_type", KINDS)
+    query = live.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    finish(query)
+    assert telemetry.totals(query, "kinds") == want and want["n"] > 0
