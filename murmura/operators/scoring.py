@@ -30,16 +30,20 @@ def _near(turns: DataFrame, collar: float, step: float) -> DataFrame:
     return edges.select("session_id", (F.col("e") - reach).alias("a"), (F.col("e") + reach + 1).alias("b")).distinct()
 
 
-def pieces(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, step: float = STEP) -> DataFrame:
+def pieces(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, step: float = STEP, stretch: float = 600.0) -> DataFrame:
     """(session_id, ref, hyp, n): pieces outside of the collar with their speakers and length in steps; null is silence.
 
-    Where turns of one side overlap the one of the largest run_id counts.  One sweep over the bounds of a session, in
-    which each side keeps the open turns as a map of run_id, as long as turns overlap.
+    Where turns of one side overlap the one of the largest run_id counts.  Turns and collars are cut where a ``stretch`` of seconds ends, so that
+    each stretch of a session is swept by itself, with all that is open in it, and a long session is many tasks'.  A sweep goes over the bounds in order;
+    each side keeps the open turns as a map of run_id, as long as turns overlap.
     """
+    width = max(1, round(stretch / step))
 
     def marks(rows: DataFrame, side: int, speaker: Column, run: Column) -> DataFrame:
+        rows = rows.filter("b > a").withColumn("part", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
+        rows = rows.withColumns({"a": F.greatest(F.col("a"), F.col("part") * width), "b": F.least(F.col("b"), (F.col("part") + 1) * width)})
         ends = F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("open")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("open")))).alias("m")
-        return rows.select("session_id", F.lit(side).alias("side"), speaker.cast("long").alias("speaker"), run.cast("long").alias("run"), ends).select("session_id", "side", "speaker", "run", "m.at", "m.open")
+        return rows.select("session_id", "part", F.lit(side).alias("side"), speaker.cast("long").alias("speaker"), run.cast("long").alias("run"), ends).select("session_id", "part", "side", "speaker", "run", "m.at", "m.open")
 
     both = marks(_steps(reference, step), 0, F.col("speaker"), F.col("run_id")).unionByName(marks(_steps(hypothesis, step), 1, F.col("speaker"), F.col("run_id")))
     both = both.unionByName(marks(_near(reference, collar, step), 2, F.lit(0), F.lit(0)))
@@ -47,12 +51,12 @@ def pieces(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, st
     ship(reference.sparkSession)
 
     def sweep(batches):
-        session, at, turns, depth = None, 0, ({}, {}), 0
+        stretch, at, turns, depth = None, 0, ({}, {}), 0
         for batch in batches:
             out = []
-            for s, side, speaker, run, t, opens in zip(*(batch[c].tolist() for c in ("session_id", "side", "speaker", "run", "at", "open")), strict=True):
-                if s != session:
-                    session, at, turns, depth = s, t, ({}, {}), 0
+            for s, part, side, speaker, run, t, opens in zip(*(batch[c].tolist() for c in ("session_id", "part", "side", "speaker", "run", "at", "open")), strict=True):
+                if (s, part) != stretch:
+                    stretch, at, turns, depth = (s, part), t, ({}, {}), 0
                 if t > at:
                     now = [max(x.items())[1] if x else None for x in turns]
                     if not depth and now != [None, None]:
@@ -67,7 +71,7 @@ def pieces(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, st
             done = pd.DataFrame(out, columns=["session_id", "ref", "hyp", "n"]).astype({"session_id": "int64", "ref": "Int64", "hyp": "Int64", "n": "int64"})
             yield done.groupby(["session_id", "ref", "hyp"], dropna=False, as_index=False).sum()
 
-    ordered = both.repartition("session_id").sortWithinPartitions("session_id", "at", "open", "side", "run")
+    ordered = both.repartition("session_id", "part").sortWithinPartitions("session_id", "part", "at", "open", "side", "run")
     return ordered.mapInPandas(sweep, schema)
 
 

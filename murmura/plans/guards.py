@@ -69,7 +69,13 @@ def with_context(df, last=1200, rows=500):
     )
     order = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)))
     ends = df.groupBy("_lang", "_range").agg(F.max_by("_end", order).alias("_before"))
-    ends = ends.withColumn("_before", F.lag("_before").over(Window.partitionBy("_lang").orderBy("_range")))
+    # A language has a range for each ``rows`` documents: they are put in order in groups, of which again one row each is left.
+    ends = ends.withColumn("_group", F.floor(F.col("_range") / 1000))
+    carried = ends.groupBy("_lang", "_group").agg(F.max_by("_before", "_range").alias("_carried"))
+    carried = carried.withColumn("_carried", F.lag("_carried").over(Window.partitionBy("_lang").orderBy("_group")))
+    group = Window.partitionBy("_lang", "_group").orderBy("_range")
+    ends = ends.withColumns({"_first": F.row_number().over(group) == 1, "_lag": F.lag("_before").over(group)}).join(carried, ["_lang", "_group"])
+    ends = ends.select("_lang", "_range", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")).alias("_before"))
     w = Window.partitionBy("_lang", "_range").orderBy("doc_id")
     df = df.withColumns({"_n": F.row_number().over(w), "_lag": F.lag("_end").over(w)}).join(ends, ["_lang", "_range"], "left")
     context = F.coalesce(F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag")), F.lit(""))

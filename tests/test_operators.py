@@ -284,6 +284,24 @@ def test_short_runs_absorbed(spark):
 # --- scoring --------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("stretch", [0.5, 7.0, 1e6])
+def test_pieces_of_stretches(spark, stretch):
+    """However a session is cut into stretches, each hundredth of a second counts once, as judged by hand."""
+    rng = np.random.default_rng(7)
+    made = lambda n, seed: [(s, k, *sorted(np.round(rng.uniform(0, 40, 2), 2).tolist()), int(rng.integers(0, 3))) for s in (1, 2) for k in range(n)]
+    turns = "session_id long, run_id long, start double, end double, speaker int"
+    ref, hyp = made(9, 0), made(7, 1)
+    got = scoring.pieces(spark.createDataFrame(ref, turns), spark.createDataFrame(hyp, turns), stretch=stretch).groupBy("session_id", "ref", "hyp").agg(F.sum("n").alias("n")).collect()
+    want = Counter()
+    for s in (1, 2):
+        edges = [round(t * 100) for r in ref if r[0] == s for t in r[2:4] if r[2] < r[3]]
+        for t in range(4001):
+            now = [max([(r[1], r[4]) for r in side if r[0] == s and round(r[2] * 100) <= t < round(r[3] * 100)], default=(0, None))[1] for side in (ref, hyp)]
+            if now != [None, None] and not any(e - 25 <= t < e + 26 for e in edges):
+                want[s, now[0], now[1]] += 1
+    assert {(r.session_id, r.ref, r.hyp): r.n for r in got} == want
+
+
 def test_error_rate(spark):
     turns = "session_id long, run_id long, start double, end double, speaker int"
     ref = spark.createDataFrame([(1, 1, 0.0, 4.0, 0), (1, 2, 4.0, 8.0, 1)], turns)
