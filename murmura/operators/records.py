@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.functions.text import tenths
 from murmura.session import ship
 
 # --- logs -----------------------------------------------------------------------------
@@ -81,16 +82,16 @@ def log_report(parsed: DataFrame) -> DataFrame:
 def score_report(scores: DataFrame) -> DataFrame:
     """Adds report, a text of several lines, to rows as ``scoring.error_rate`` gives them."""
     speech = F.col("correct") + F.col("confusion") + F.col("missed")
-    part = lambda c: F.format_string("%6.1f%%", F.when(speech > 0, F.col(c) * 100 / speech).otherwise(0.0))
+    part = lambda c: F.format_string("%6s%%", tenths(F.when(speech > 0, F.col(c) * 100 / speech).otherwise(0.0)))
     rows = [("correct", "correct"), ("confusion", "confusion"), ("missed", "missed"), ("false alarm", "false_alarm")]
     lines = [F.concat(F.format_string("%-12s%9.2fs  ", F.lit(name), F.col(c)), part(c)) for name, c in rows]
-    return scores.withColumn("report", F.concat_ws("\n", F.format_string("%-12s%9.2fs", F.lit("scored"), speech), *lines, F.format_string("%-12s%9.1f%%", F.lit("error rate"), F.col("error_rate") * 100)))
+    return scores.withColumn("report", F.concat_ws("\n", F.format_string("%-12s%9.2fs", F.lit("scored"), speech), *lines, F.format_string("%-12s%9s%%", F.lit("error rate"), tenths(F.col("error_rate") * 100))))
 
 
 def run_lines(runs: DataFrame) -> DataFrame:
     """Adds line, a row of a table of fixed widths, to scenario runs with a status: what is missing says so, what isn't known is a dash."""
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    rate = F.when(F.col("error_rate").isNull(), "-").otherwise(F.format_string("%.1f%%", F.col("error_rate") * 100))
+    rate = F.when(F.col("error_rate").isNull(), "-").otherwise(F.concat(tenths(F.col("error_rate") * 100), F.lit("%")))
     whole = F.concat(F.rpad(F.col("run_id").cast("string"), 12, " "), F.lpad(number("true_speakers"), 4, " "), F.lpad(number("speakers"), 4, " "), F.lpad(rate, 9, " "))
     return runs.withColumn("line", F.when(F.col("status").isin("missing", "error"), F.concat(F.rpad(F.col("run_id").cast("string"), 12, " "), F.lit(" "), F.upper("status"))).otherwise(whole))
 
