@@ -6,7 +6,11 @@ collars cut a session into pieces on which both speakers are constant, and piece
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +21,13 @@ from murmura.session import ship
 STEP = 0.01
 
 
-def _steps(turns: DataFrame, step: float) -> DataFrame:
-    """Turns (session_id, run_id, speaker) with their bounds a and b in steps, b not included; empty ones left out."""
-    bounds = {"a": F.rint(F.col("start") / step).cast("long"), "b": F.rint(F.col("end") / step).cast("long")}
-    return turns.select("session_id", "run_id", "speaker", *(c.alias(k) for k, c in bounds.items())).filter("a < b")
-
-
-def _near(turns: DataFrame, collar: float, step: float) -> DataFrame:
-    """(session_id, a, b) of the collars around each turn's start and end."""
-    reach = round(collar / step)
-    edges = turns.select("session_id", F.explode(F.array("start", "end")).alias("t")).select("session_id", F.rint(F.col("t") / step).cast("long").alias("e"))
-    return edges.select("session_id", (F.col("e") - reach).alias("a"), (F.col("e") + reach + 1).alias("b")).distinct()
+def _spans(turns: DataFrame, side: int, step: float, reach: int | None = None) -> DataFrame:
+    """(session_id, side, speaker, run, a, b) of turns in steps, b not included; empty ones left out.  With ``reach`` the collars around all starts and ends as well, as side 2."""
+    a, b = (F.rint(F.col(c) / step).cast("long") for c in ("start", "end"))
+    span = lambda k, x, y: F.struct(F.lit(k).alias("side"), x.alias("a"), y.alias("b"))
+    collars = [] if reach is None else [span(2, e - reach, e + reach + 1) for e in (a, b)]
+    rows = turns.select("session_id", F.col("speaker").cast("long").alias("speaker"), F.col("run_id").cast("long").alias("run"), F.explode(F.array(span(side, a, b), *collars)).alias("s"))
+    return rows.select("session_id", "s.side", "speaker", "run", "s.a", "s.b").filter("a < b")
 
 
 def pieces(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, step: float = STEP, stretch: float = 600.0) -> DataFrame:
@@ -39,14 +39,11 @@ def pieces(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, st
     """
     width = max(1, round(stretch / step))
 
-    def marks(rows: DataFrame, side: int, speaker: Column, run: Column) -> DataFrame:
-        rows = rows.filter("b > a").withColumn("part", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
-        rows = rows.withColumns({"a": F.greatest(F.col("a"), F.col("part") * width), "b": F.least(F.col("b"), (F.col("part") + 1) * width)})
-        ends = F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("open")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("open")))).alias("m")
-        return rows.select("session_id", "part", F.lit(side).alias("side"), speaker.cast("long").alias("speaker"), run.cast("long").alias("run"), ends).select("session_id", "part", "side", "speaker", "run", "m.at", "m.open")
-
-    both = marks(_steps(reference, step), 0, F.col("speaker"), F.col("run_id")).unionByName(marks(_steps(hypothesis, step), 1, F.col("speaker"), F.col("run_id")))
-    both = both.unionByName(marks(_near(reference, collar, step), 2, F.lit(0), F.lit(0)))
+    rows = _spans(reference, 0, step, round(collar / step)).unionByName(_spans(hypothesis, 1, step))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
+    rows = rows.withColumns({"a": F.greatest(F.col("a"), F.col("part") * width), "b": F.least(F.col("b"), (F.col("part") + 1) * width)})
+    ends = F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("open")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("open")))).alias("m")
+    both = rows.select("session_id", "part", "side", "speaker", "run", ends).select("session_id", "part", "side", "speaker", "run", "m.at", "m.open")
     schema = "session_id long, ref long, hyp long, n long"
     ship(reference.sparkSession)
 
@@ -80,33 +77,64 @@ def contingency(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.2
     return pieces(reference, hypothesis, collar).groupBy("session_id", "ref", "hyp").agg(F.sum("n").alias("n"))
 
 
+def _pairs(cells: np.ndarray) -> list[tuple[int, int, int]]:
+    """The pairs (ref, hyp, n) of the best one-to-one mapping for a table's cells (ref, hyp, n), those that never agree left out."""
+    refs, r = np.unique(cells[:, 0], return_inverse=True)
+    hyps, h = np.unique(cells[:, 1], return_inverse=True)
+    n = np.zeros((len(refs), len(hyps)))
+    np.add.at(n, (r, h), cells[:, 2])
+    return [(int(refs[i]), int(hyps[j]), int(n[i, j])) for i, j in assignment(-n) if n[i, j] > 0]
+
+
+def _tables(counts: DataFrame, **more: Column) -> DataFrame:
+    """One row a session: its cells with both speakers as an array, and aggregates of all its counts."""
+    cell = F.when(F.col("ref").isNotNull() & F.col("hyp").isNotNull(), F.struct("ref", "hyp", "n"))
+    ship(counts.sparkSession)
+    return counts.groupBy("session_id").agg(F.collect_list(cell).alias("cells"), *(c.alias(k) for k, c in more.items()))
+
+
+def _solved(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int]]]:
+    lists = batch.column("cells")
+    flat = lists.flatten()
+    cells = np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], 1)
+    upto = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    for b, e in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True):
+        yield _pairs(cells[b:e]) if e > b else []
+
+
 def best_mapping(counts: DataFrame) -> DataFrame:
     """(session_id, ref, hyp, n): the one-to-one mapping of speakers on which reference and guess agree most, pairs that never agree left out.
 
-    Any number of speakers on either side; a session's table is as large as its speakers are many.
+    Any number of speakers on either side; a session's table is as large as its speakers are many, and sessions are solved batch by batch.
     """
-    ship(counts.sparkSession)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="ref", columns="hyp", values="n").fillna(0).sort_index().sort_index(axis=1)
-        n = table.to_numpy(float)
-        pairs = [(r, h) for r, h in assignment(-n) if n[r, h] > 0]
-        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "ref": [table.index[r] for r, _ in pairs], "hyp": [table.columns[h] for _, h in pairs], "n": [int(n[r, h]) for r, h in pairs]}).astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(s, *p) for s, pairs in zip(batch.column("session_id").to_pylist(), _solved(batch), strict=True) for p in pairs]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["session_id", "ref", "hyp", "n"])
 
-    spoken = counts.filter("ref IS NOT NULL AND hyp IS NOT NULL").select("session_id", "ref", "hyp", "n")
-    return spoken.groupBy("session_id").applyInPandas(solve, "session_id long, ref long, hyp long, n long")
+    return _tables(counts).select("session_id", "cells").mapInArrow(run, "session_id long, ref long, hyp long, n long")
 
 
 def error_rate(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
-    """Seconds correct, confused, missed and falsely alarmed of each session, and the error rate."""
-    counts = contingency(reference, hypothesis, collar)
+    """Seconds correct, confused, missed and falsely alarmed of each session, and the error rate.
+
+    Totals and table of a session are one row, so the sweep is made once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            agreed = pa.array([sum(n for _, _, n in pairs) for pairs in _solved(batch)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), agreed], names=[*names, "agreed"])
+
     total: dict[str, Column] = {
         "both": F.sum(F.when(F.col("ref").isNotNull() & F.col("hyp").isNotNull(), F.col("n")).otherwise(0)),
         "missed": F.sum(F.when(F.col("hyp").isNull(), F.col("n")).otherwise(0)),
         "false_alarm": F.sum(F.when(F.col("ref").isNull(), F.col("n")).otherwise(0)),
     }
-    agreed = best_mapping(counts).groupBy("session_id").agg(F.sum("n").alias("agreed"))
-    sums = counts.groupBy("session_id").agg(*(c.alias(k) for k, c in total.items())).join(agreed, "session_id", "left").fillna(0, ["agreed"])
+    names = ["session_id", *total]
+    sums = _tables(contingency(reference, hypothesis, collar), **total).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "agreed"]))
     speech = F.col("both") + F.col("missed")
     wrong = F.col("both") - F.col("agreed") + F.col("missed") + F.col("false_alarm")
     seconds = lambda c: F.bround(c * STEP, 2)

@@ -1,10 +1,15 @@
 """What was mended after a review: each of these failed before."""
 
+import re
+from collections import Counter
+from itertools import permutations
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from murmura.functions import text as T
-from murmura.operators import records
+from murmura.operators import records, scoring
+from murmura.plans import catalogue
 
 
 def test_tenths_like_printf(spark):
@@ -19,3 +24,27 @@ def test_score_report_rounds_like_printf(spark):
     """29.15 % is a little less in binary: 29.1."""
     df = spark.createDataFrame([(1, 44.5, 17.25, 0.72, 0.24, 0.2915)], "session_id long, correct double, confusion double, missed double, false_alarm double, error_rate double")
     assert records.score_report(df).first().report.endswith(f"error rate  {0.2915 * 100:9.1f}%")
+
+
+def test_der_score_sweeps_once(spark, small):
+    """One sweep and one reading of each side, no group of rows a session, and the mapping solved for many sessions at once."""
+    plan = catalogue.QUERIES["der_score"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    tree = plan.split("\n\n")[0]
+    assert len(re.findall(r"[-+:] .*MapInPandas", tree)) <= 1 and "FlatMapGroups" not in plan and tree.count("FileScan parquet") <= 2
+
+
+def test_best_mapping_of_many_sessions(spark):
+    """Against all one-to-one mappings, with cells in pieces, sessions without a pair and empty input."""
+    rng = np.random.default_rng(3)
+    rows = [(s, None if r < 0 else r, None if h < 0 else h, int(n)) for s in range(60) for r, h, n in zip(rng.integers(-1, 4, s % 9), rng.integers(-1, 3, s % 9), rng.integers(0, 9, s % 9))]
+    df = spark.createDataFrame([(s, None if r is None else int(r), None if h is None else int(h), n) for s, r, h, n in rows], "session_id long, ref long, hyp long, n long")
+    got = Counter()
+    for r in scoring.best_mapping(df).collect():
+        got[r.session_id] += r.n
+    for s in range(60):
+        n = Counter()
+        for x, r, h, k in rows:
+            if x == s and r is not None and h is not None:
+                n[r, h] += k
+        assert got[s] == max(sum(n[p[h], h] for h in range(3)) for p in permutations(range(4), 3))
+    assert scoring.best_mapping(df.filter("false")).count() == 0
