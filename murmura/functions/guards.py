@@ -124,8 +124,8 @@ def echo(t: Tokens, context: Tokens, rule: Guard) -> tuple[np.ndarray, np.ndarra
     return share, (np.bincount(t.row, minlength=t.n) >= rule.echo_tokens) & (np.bincount(there, minlength=t.n) > 0) & (share >= rule.echo) & (count > 0)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    upto = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, "right")))
@@ -148,7 +148,7 @@ def guarded(df: DataFrame, text: str, context: str | None = None, rule: Guard =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, *([context] if context else [])):
                 t = Tokens.of(batch.column(text))
                 if strip:
                     t = t.only(letters(t.values, rule.allowed) >= (1 - rule.share) * letters(t.values, r"\p{L}"))
@@ -159,3 +159,21 @@ def guarded(df: DataFrame, text: str, context: str | None = None, rule: Guard =
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], names=kinds.names)
 
     return df.mapInArrow(run, schema)
+
+
+def echoed(df: DataFrame, text: str, context: str, rule: Guard = Guard()) -> DataFrame:
+    """Adds echo_share, the share of the text's 3-grams that the context has in one case, and echo, whether that makes the text an echo.
+
+    Texts and contexts may be whole documents; nulls have no tokens.
+    """
+    ship(df.sparkSession)
+    schema = df.select("*").schema.add("echo_share", "double").add("echo", "boolean")
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text, context):
+                found = echo(Tokens.of(batch.column(text)), Tokens.of(batch.column(context)), rule)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, *map(pa.array, found)], kinds, strict=True)], names=kinds.names)
+
+    return df.mapInArrow(run, schema)

@@ -112,39 +112,10 @@ def most_frequent(items: Column) -> Column:
 
 
 def with_echo(df: DataFrame, text: str, context: str, least: int = 5, share: float = 0.8) -> DataFrame:
-    """Adds echo_share, the share of the text's 3-grams that the context has in one case, and echo, whether that makes the text an echo.
+    """Adds echo_share and echo as ``guards.echoed`` does: the 3-grams that a text shares with its context, in one Arrow pass."""
+    from murmura.functions import guards
 
-    Texts and contexts may be whole documents: the 3-grams they share are found by hash, and the text's
-    3-grams are held against those one by one only while they are few, else both are sorted.  Each
-    array is a column of its own and named twice or more, so that the optimiser doesn't move its
-    computation into a lambda.
-    """
-    grams = {f"_{c}": ngrams(F.transform(tokens(F.col(c)), fold_case)) for c in (text, context)}
-    own, given, shared = F.col(f"_{text}"), F.col(f"_{context}"), F.col("_shared")
-    few = F.size(F.filter(own, lambda g: (F.size(shared) > 0) & F.array_contains(shared, g)))
-    found = (
-        F.when(F.size(shared) == 0, 0)
-        .when(F.size(shared) == F.col("_distinct"), F.size(own))
-        .when(F.size(shared) <= 32, few)
-        .otherwise(count_among(own, shared))
-    )
-    ratio = F.when(F.size(own) == 0, 0.0).otherwise(found / F.size(own))
-    long_enough = (F.size(own) + 2 >= least) & (F.size(given) > 0)
-    df = df.withColumns(grams).withColumns({"_shared": F.array_intersect(own, given), "_distinct": F.size(F.array_distinct(own))})
-    return df.withColumn("echo_share", ratio).withColumn("echo", long_enough & (F.col("echo_share") >= share)).drop(*grams, "_shared", "_distinct")
-
-
-def count_among(items: Column, wanted: Column) -> Column:
-    """How many of the items are among the wanted ones, by sorting both together; equal items count each."""
-    tag = lambda c, k: F.transform(c, lambda g: F.struct(g.alias("g"), F.lit(k).alias("k")))
-    tagged = F.concat(tag(wanted, 0), tag(items, 1))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("last"))
-
-    def step(acc: Column, t: Column) -> Column:
-        n = acc["n"] + F.when((t["k"] == 1) & t["g"].eqNullSafe(acc["last"]), 1).otherwise(0)
-        return F.struct(n.alias("n"), F.when(t["k"] == 0, t["g"]).otherwise(acc["last"]).alias("last"))
-
-    return F.aggregate(F.sort_array(tagged), start, step, lambda acc: acc["n"])
+    return guards.echoed(df, text, context, guards.Guard(echo_tokens=least, echo=share))
 
 
 def clock(seconds: Column) -> Column:

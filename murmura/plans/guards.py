@@ -83,8 +83,8 @@ def with_context(df, last=1200, rows=500):
 
 
 def context_echo(spark, sf_dir):
-    df = with_context(documents(spark, sf_dir)).withColumn("context", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.col("context")))
-    return T.with_echo(df, "text", "context").select("doc_id", F.bround("echo_share", 6).alias("share"), "echo")
+    df = with_context(documents(spark, sf_dir).select("doc_id", "text", "lang")).withColumn("context", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.col("context")))
+    return G.echoed(df.select("doc_id", "text", "context"), "text", "context").select("doc_id", F.bround("echo_share", 6).alias("share"), "echo")
 
 
 def clean_transcript_reasons(spark, sf_dir):

@@ -5,8 +5,10 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from murmura.functions import guards as guard_functions
 from murmura.functions import text as T
 from murmura.operators import records, scoring
 from murmura.plans import catalogue
@@ -48,3 +50,11 @@ def test_best_mapping_of_many_sessions(spark):
                 n[r, h] += k
         assert got[s] == max(sum(n[p[h], h] for h in range(3)) for p in permutations(range(4), 3))
     assert scoring.best_mapping(df.filter("false")).count() == 0
+
+
+def test_context_echo_is_one_arrow_pass(spark, small):
+    """The tokens of text and context are compared in Arrow batches, not by lambdas over arrays; slices count both columns' bytes."""
+    plan = catalogue.QUERIES["context_echo"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
+    batch = pa.record_batch({"text": ["a b c"] * 4, "context": ["x" * (guard_functions.SLICE // 2)] * 4})
+    assert all(b.num_rows <= 2 for b in guard_functions.slices(batch, "text", "context"))
