@@ -6,10 +6,17 @@ and language.  They are ordered by (start, chunk_id), so late arrivals land in p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from murmura.functions.text import squeeze
+from murmura.session import ship
 
 ORDER = ("start", "chunk_id")
 
@@ -57,28 +64,70 @@ def paragraphs(chunks: DataFrame) -> DataFrame:
 
 
 def token_languages(df: DataFrame, language: Column, keys: list[str]) -> DataFrame:
-    """Tokens of ``text`` with offsets and their language; tokens without one take the last before, leading ones the first after.
+    """The tokens of ``text`` in order: keys, n (from 0), size and padded (its characters, and those with the white space before), own, its language or null.
 
-    ``language`` is a Column over the column ``token``; a text without any keeps null.
+    ``language`` is a Column over the column ``token``.
     """
     pieces = df.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\s*\S+"), F.lit(0))).alias("n", "piece"))
-    w = Window.partitionBy(*keys).orderBy("n")
-    end = F.sum(F.char_length("piece")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    tokens = pieces.select(*keys, "n", F.regexp_replace("piece", r"(?U)^\s+", "").alias("token"), end.alias("end"))
-    tokens = tokens.withColumn("start", F.col("end") - F.char_length("token"))
-    tokens = tokens.withColumn("own", language)
-    before = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # Where nothing stands before, the first of all is the first after; a frame to the end would be read anew for every row.
-    first = F.first("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return tokens.withColumn("language", F.coalesce(before, first))
+    tokens = pieces.select(*keys, "n", F.char_length("piece").alias("padded"), F.regexp_replace("piece", r"(?U)^\s+", "").alias("token"))
+    return tokens.select(*keys, "n", F.char_length("token").alias("size"), "padded", language.cast("string").alias("own"))
+
+
+def _runs(n: np.ndarray, size: np.ndarray, padded: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the tokens of whole texts (``own`` is a language's number or -1): each span's first token, number in its text, language, start and end."""
+    begin = np.flatnonzero(n == 0)
+    text = np.cumsum(n == 0) - 1
+    total = np.cumsum(padded)
+    end = total - (total[begin] - padded[begin])[text]
+    # A token without a language takes the last one's before it, those at the front the first one's after them.
+    at = np.maximum.accumulate(np.where(own >= 0, np.arange(len(own)), -1))
+    first = np.full(len(begin), -1)
+    known = np.flatnonzero(own >= 0)
+    which, where = np.unique(text[known], return_index=True)
+    first[which] = own[known[where]]
+    language = np.where(at >= begin[text], own[at], first[text])
+    new = (n == 0) | np.concatenate([[True], language[1:] != language[:-1]])[: len(n)]
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], len(n)) - 1
+    span = np.arange(len(start)) - np.searchsorted(start, begin)[text[start]]
+    return start, span, language[start], end[start] - size[start], end[last]
 
 
 def language_spans(df: DataFrame, language: Column, keys: list[str], fallback: str) -> DataFrame:
-    """Spans of one language each: keys, span, language, start_char, end_char."""
-    tokens = token_languages(df, language, keys).withColumn("language", F.coalesce("language", F.lit(fallback)))
-    w = Window.partitionBy(*keys).orderBy("n")
-    runs = islands(tokens, ["language"], w, "span")
-    return runs.groupBy(*keys, "span", "language").agg(F.min("start").alias("start_char"), F.max("end").alias("end_char")).withColumn("span", (F.col("span") - 1).cast("int"))
+    """Spans of one language each: keys, span, language, start_char, end_char.  A text without any language is ``fallback``'s.
+
+    Tokens follow one another as ``posexplode`` gives them, so a text's spans are found where the text is read, without a shuffle; a task
+    holds the tokens' numbers of one text at least.
+    """
+    ship(df.sparkSession)
+    tokens = token_languages(df, language, keys)
+    schema = df.select(*keys).schema.add("span", "integer").add("language", "string").add("start_char", "integer").add("end_char", "integer")
+    kinds = to_arrow_schema(schema)
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        own = rows.column("own").combine_chunks().dictionary_encode()
+        code = pc.fill_null(own.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "size", "padded"))
+        start, span, lang, a, b = _runs(*number, code)
+        names = pc.fill_null(own.dictionary.take(pa.array(lang, mask=lang < 0)), fallback)
+        of = pa.array(start)
+        columns = [rows.column(k).combine_chunks().take(of) for k in keys] + [pa.array(span), names, pa.array(a), pa.array(b)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], names=kinds.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            heads = np.flatnonzero(batch.column("n").to_numpy() == 0)
+            if len(heads):
+                # All texts but the last one are whole.
+                if held or heads[-1]:
+                    yield solve(pa.Table.from_batches([*held, batch.slice(0, heads[-1])]))
+                held, batch = [], batch.slice(heads[-1])
+            held.append(batch)
+        if sum(b.num_rows for b in held):
+            yield solve(pa.Table.from_batches(held))
+
+    return tokens.mapInArrow(run, schema)
 
 
 def rebased_spans(chunks: DataFrame) -> DataFrame:

@@ -88,8 +88,7 @@ def language_spans(spark, sf_dir):
 
 
 def token_language() -> Column:
-    other, base = T.letters(F.col("token"), T.OTHER), T.letters(F.col("token"), T.BASE)
-    return F.when(other > 0, "ext").when(base > 0, "base")
+    return F.when(F.col("token").rlike(T.OTHER), "ext").when(F.col("token").rlike(T.BASE), "base")
 
 
 def code_switch_counts(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import guards as guard_functions
 from murmura.functions import text as T
-from murmura.operators import records, scoring
+from murmura.operators import records, scoring, transcript
 from murmura.plans import catalogue
 
 
@@ -58,3 +58,34 @@ def test_context_echo_is_one_arrow_pass(spark, small):
     assert "MapInArrow" in plan and "lambdafunction" not in plan
     batch = pa.record_batch({"text": ["a b c"] * 4, "context": ["x" * (guard_functions.SLICE // 2)] * 4})
     assert all(b.num_rows <= 2 for b in guard_functions.slices(batch, "text", "context"))
+
+
+def test_language_spans_without_shuffle(spark):
+    """Spans of texts that go over Arrow batches, with all kinds of white space and tokens without a language, as a loop finds them; no exchange."""
+    rng = np.random.default_rng(9)
+    words, gaps = ["ab", "ñu", "12", "é.", "cd!", "--", "…", "xé"], [" ", "  ", "\n", " ", "\t  "]
+    made = lambda n: "".join(rng.choice(gaps) + rng.choice(words) for _ in range(n)) + str(rng.choice(["", " "]))
+    texts = [made(n) for n in (0, 1, 2, 3, 30, 500, 1, 40, 7)] + ["12 --", "", "   ", None, "12 ab", " 7 é 8"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    lang = F.when(F.col("token").rlike(T.OTHER), "x").when(F.col("token").rlike(T.BASE), "b")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        spans = transcript.language_spans(df, lang, ["k"], "none")
+        got = [tuple(r) for r in spans.orderBy("k", "span").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for k, text in enumerate(texts):
+        tokens = [(m.start(), m.end(), "x" if re.search(T.OTHER, m[0]) else "b" if re.search(T.BASE, m[0]) else None) for m in re.finditer(r"\S+", text or "")]
+        known = next((t[2] for t in tokens if t[2]), "none")
+        mine: list = []
+        for a, b, own in tokens:
+            known = own or known
+            if mine and mine[-1][2] == known:
+                mine[-1][4] = b
+            else:
+                mine.append([k, len(mine), known, a, b])
+        want += map(tuple, mine)
+    assert got == want
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
