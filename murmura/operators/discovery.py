@@ -28,10 +28,32 @@ class Discovery:
 SHORT = Discovery(windows=3, seconds=3.2, far=0.68)
 
 
-def _enough(df: DataFrame, rule: Discovery) -> DataFrame:
-    """The rows of the sessions that have enough windows and seconds."""
-    kept = df.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("s")).filter((F.col("n") >= rule.windows) & (F.col("s") >= rule.seconds))
-    return df.join(kept.select("session_id"), "session_id", "left_semi")
+def _means(df: DataFrame) -> DataFrame:
+    """(session_id, path, rule, windows, mean): the duration-weighted mean, of length 1, of each session's windows of a path, where their rule has enough of them."""
+    parts = df.select("session_id", "path", "rule", (F.col("end") - F.col("start")).alias("w"), F.posexplode("embedding").alias("i", "x"))
+    sums = parts.groupBy("session_id", "path", "i").agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.sum("w").alias("s"), F.count("*").alias("n"), F.first("rule").alias("rule"))
+    whole = sums.groupBy("session_id", "path").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"), *(F.first(c).alias(c) for c in ("n", "s", "rule")))
+    enough = whole.filter((F.col("n") >= F.col("rule.windows")) & (F.col("s") >= F.col("rule.seconds")))
+    return vectors.normalised(enough.select("session_id", "path", "rule", F.col("n").alias("windows"), F.transform("v", lambda p: p["x"] / F.col("s")).alias("mean")), "mean")
+
+
+def _found(windows: DataFrame, cents: DataFrame, rules: dict[str, Discovery]) -> DataFrame:
+    """(session_id, path, windows, embedding): the new voices by each rule.
+
+    All rules go through the same joins: a window is a row for each rule by which it is far.  A session's centroids travel as one array, so windows
+    are joined with sessions and never multiplied by centroids.
+    """
+    known = cents.groupBy("session_id").agg(F.collect_list("embedding").alias("known"))
+    unit = vectors.normalised(windows.select("session_id", "window_id", "start", "end", "embedding"))
+    nearest = lambda v: F.array_min(F.transform("known", lambda c: F.round(vectors.distance(v, c), 9)))
+    rule = F.explode(F.array(*(F.struct(F.lit(k).alias("path"), F.lit(r.windows).alias("windows"), F.lit(r.seconds).alias("seconds"), F.lit(r.far).alias("far")) for k, r in rules.items())))
+    best = unit.join(known, "session_id").withColumn("best", nearest(F.col("embedding"))).drop("known").withColumn("rule", rule)
+    far = best.filter(F.col("best") > F.col("rule.far")).select("session_id", F.col("rule.path").alias("path"), "rule", "start", "end", "embedding")
+    mean = _means(far).select("session_id", "path", "mean")
+    agree = far.join(mean, ["session_id", "path"]).filter(vectors.distance(F.col("embedding"), F.col("mean")) <= F.col("rule.far"))
+    found = _means(agree).join(known, "session_id")
+    apart = F.array_min(F.transform("known", lambda c: vectors.distance(F.col("mean"), c)))
+    return found.filter(apart >= F.col("rule.far")).select("session_id", "path", "windows", F.col("mean").alias("embedding"))
 
 
 def new_voices(windows: DataFrame, cents: DataFrame, rule: Discovery = Discovery()) -> DataFrame:
@@ -40,23 +62,13 @@ def new_voices(windows: DataFrame, cents: DataFrame, rule: Discovery = Discovery
     The far windows must agree with their own mean, too, and those that do must still be enough; the
     mean of these is the candidate, and it must be far from every known centroid.
     """
-    unit = vectors.normalised(windows.select("session_id", "window_id", "start", "end", "embedding"))
-    best = vectors.nearest(windows, cents, "cluster").filter(F.col("best") > rule.far).select("session_id", "window_id")
-    far = _enough(unit.join(best, ["session_id", "window_id"]), rule)
-    mean = vectors.centroids(far.withColumn("cluster", F.lit(0)), "cluster").select("session_id", F.col("embedding").alias("mean"))
-    agree = _enough(far.join(mean, "session_id").filter(vectors.distance(F.col("embedding"), F.col("mean")) <= rule.far), rule)
-    found = vectors.centroids(agree.withColumn("cluster", F.lit(0)), "cluster").select("session_id", F.col("embedding").alias("voice"))
-    count = agree.groupBy("session_id").agg(F.count("*").alias("windows"))
-    known = cents.select("session_id", F.col("embedding").alias("known"))
-    close = found.join(known, "session_id").filter(vectors.distance(F.col("voice"), F.col("known")) < rule.far).select("session_id").distinct()
-    return found.join(close, "session_id", "left_anti").join(count, "session_id").select("session_id", "windows", F.col("voice").alias("embedding"))
+    return _found(windows, cents, {"": rule}).drop("path")
 
 
 def discover(windows: DataFrame, cents: DataFrame, strict: Discovery = Discovery(), short: Discovery = SHORT) -> DataFrame:
     """New voices by the strict path, and by the short one where the strict one finds none; ``path`` says which."""
-    first = new_voices(windows, cents, strict)
-    rest = new_voices(windows, cents, short).join(first.select("session_id"), "session_id", "left_anti")
-    return first.withColumn("path", F.lit("strict")).unionByName(rest.withColumn("path", F.lit("short")))
+    first = F.max_by(F.struct("windows", "embedding", "path"), F.col("path") == "strict")
+    return _found(windows, cents, {"strict": strict, "short": short}).groupBy("session_id").agg(first.alias("v")).select("session_id", "v.*")
 
 
 def fresh_windows(windows: DataFrame) -> DataFrame:

@@ -89,3 +89,9 @@ def test_language_spans_without_shuffle(spark):
         want += map(tuple, mine)
     assert got == want
     assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+
+
+def test_new_voices_in_few_steps(spark, small):
+    """Both paths go through the same joins and sums; windows aren't multiplied by centroids, so a task holds few sorts at a time."""
+    plan = catalogue.QUERIES["new_voices"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin ", plan)) <= 4
