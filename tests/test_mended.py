@@ -1,6 +1,7 @@
 """What was mended after a review: each of these failed before."""
 
 import re
+import tracemalloc
 from collections import Counter
 from itertools import permutations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import guards as guard_functions
 from murmura.functions import text as T
+from murmura.llm import passages
 from murmura.operators import records, scoring, transcript
 from murmura.plans import catalogue
 
@@ -95,3 +97,21 @@ def test_new_voices_in_few_steps(spark, small):
     """Both paths go through the same joins and sums; windows aren't multiplied by centroids, so a task holds few sorts at a time."""
     plan = catalogue.QUERIES["new_voices"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bJoin ", plan)) <= 4
+
+
+def test_repeated_passages_work_on_little_at_once():
+    """Anchors of 2 MB of text, and contexts of a task's batch, take less than 25 MB beside them."""
+    data = np.random.default_rng(1).integers(97, 123, 1 << 21).astype(np.uint8)
+    starts = np.arange(0, 1 << 21, 2048)
+
+    def peak(work):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    rule = passages.Repeat()
+    anchors = lambda: [passages.anchors(data[starts[i] : starts[j - 1] + 2048], starts[i:j] - starts[i], starts[i:j] + 2048 - starts[i], rule) for i, j in passages.slices(starts, starts + 2048, passages.SLICE)][:0]
+    refined = lambda: passages.repeated_windows(data[: passages.AT_ONCE], np.full(passages.AT_ONCE // 2048, 2048), rule)
+    assert peak(anchors) < 25e6 and peak(refined) < 25e6
