@@ -141,6 +141,21 @@ def test_repeats(docs, texts):
     assert got == dict(enumerate(brute_repeats(texts, 400)))
 
 
+def test_repeats_go_from_400_bytes_on(spark):
+    """Passages of over 50 words that stand in two documents: one of 399 bytes stays, one of 400 goes, clean documents are left alone."""
+    rng = np.random.default_rng(8)
+    own = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n))
+    short, long = ("é" + own(60)[: n - 2] for n in (399, 400))
+    assert [(len(p.encode()), len(p.split()) > 50) for p in (short, long)] == [(399, True), (400, True)]
+    texts = [f"{own(30)}({p}){own(30)}" if k else f"[{p}]{own(40)}" for p in (short, long, own(60)) for k in (0, 1)]
+    texts[-1] = own(90)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in passages.digests(passages.repeats(df)).collect()}
+    left = [t.replace(long, "") for t in texts]
+    gone = [0, 0, 400, 400, 0, 0]
+    assert got == {i: (len(t.encode()), gone[i], int(gone[i] > 0), hashlib.sha256(left[i].encode()).hexdigest()) for i, t in enumerate(texts)}
+
+
 def test_repeats_counted_and_small(spark, none, monkeypatch):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcd"), 3)) for _ in range(8)]
